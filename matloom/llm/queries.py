@@ -63,9 +63,43 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+OP10_SQL = r"""
+WITH l AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+full_lines AS (
+  SELECT doc_id, i, x[i] AS line FROM l, unnest(range(1, len(x) + 1)) AS t(i)
+  WHERE trim(x[i], ' ' || chr(9) || chr(13)) <> ''),
+c AS (SELECT doc_id, list(line ORDER BY i) AS line, list(i ORDER BY i) AS ix FROM full_lines GROUP BY doc_id),
+w AS (
+  SELECT doc_id, p, line[p:p + 2] AS win, ix[p:p + 2] AS ix FROM c, unnest(range(1, greatest(len(line) - 1, 2))) AS t(p)),
+ranked AS (
+  SELECT *, first_value(doc_id) OVER f AS d0, first_value(p) OVER f AS p0
+  FROM w WINDOW f AS (PARTITION BY win ORDER BY doc_id, p)),
+gone AS (
+  SELECT DISTINCT doc_id, i
+  FROM (SELECT *, CASE WHEN doc_id = d0 THEN p - p0 ELSE 3 END AS ahead FROM ranked) AS r,
+       unnest(range(ix[1 + greatest(3 - ahead, 0)], ix[len(ix)] + 1)) AS t(i)
+  WHERE ahead > 0),
+kept AS (
+  SELECT doc_id, string_agg(x[i], chr(10) ORDER BY i) AS text,
+         count(*) FILTER (trim(x[i], ' ' || chr(9) || chr(13)) <> '') AS n
+  FROM (SELECT doc_id, x, i FROM l, unnest(range(1, len(x) + 1)) AS t(i)) AS e ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT l.doc_id, CAST(coalesce(len(c.line), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(len(c.line), 0) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+       CASE WHEN coalesce(kept.n, 0) = 0 AND coalesce(len(c.line), 0) > 0 THEN '' ELSE coalesce(kept.text, '') END AS text
+FROM l LEFT JOIN c USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination}
+    return {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL}
+    return {"op4_decontamination": OP4_SQL, "op10_line_dedup": OP10_SQL}
