@@ -63,6 +63,15 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, score_quality
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"))
+    held = F.expr("crc32(cast(doc_id as string)) % 5 = 0")
+    return score_quality(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -98,7 +107,7 @@ FROM l LEFT JOIN c USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op10_line_dedup": op10_line_dedup}
+    return {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op7_quality": op7_quality, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
