@@ -63,6 +63,15 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import hilbert_shards
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    carry = {"size": F.octet_length(text).cast("bigint") + 1, "text_crc32": F.crc32(text.cast("binary"))}
+    placed = hilbert_shards(_table(spark, sf_dir, "documents"), ["lang", "source", "n_chars", "doc_id"], carry=carry)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit_quality, score_quality
 
@@ -107,7 +116,7 @@ FROM l LEFT JOIN c USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op7_quality": op7_quality, "op10_line_dedup": op10_line_dedup}
+    return {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op5_hilbert_sharding": op5_hilbert_sharding, "op7_quality": op7_quality, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
