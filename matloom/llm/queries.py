@@ -24,6 +24,25 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import page_of, round_trip
+
+    found = round_trip(_table(spark, sf_dir, "pages")).where("gap is null")
+    return found.select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to"))
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS x, min(page_id) OVER (PARTITION BY sha1(b)) AS first FROM p),
+c AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (CAST('0x' || x[1 + 5 * (k // 4):5 + 5 * (k // 4)] AS INTEGER) >> (15 - 5 * (k % 4))) % 32, 1), '' ORDER BY k) AS d
+      FROM h, unnest(range(32)) AS t(k) GROUP BY page_id)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM h JOIN c USING (page_id)
+"""
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
 
@@ -116,8 +135,8 @@ FROM l LEFT JOIN c USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op5_hilbert_sharding": op5_hilbert_sharding, "op7_quality": op7_quality, "op10_line_dedup": op10_line_dedup}
+    return {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op5_hilbert_sharding": op5_hilbert_sharding, "op7_quality": op7_quality, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op4_decontamination": OP4_SQL, "op10_line_dedup": OP10_SQL}
