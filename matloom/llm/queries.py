@@ -100,6 +100,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multi_index import embedding_links
+
+    return embedding_links(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -135,7 +141,7 @@ FROM l LEFT JOIN c USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op5_hilbert_sharding": op5_hilbert_sharding, "op7_quality": op7_quality, "op10_line_dedup": op10_line_dedup}
+    return {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op5_hilbert_sharding": op5_hilbert_sharding, "op7_quality": op7_quality, "op8_multi_index": op8_multi_index, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
