@@ -91,6 +91,15 @@ def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels"))
+    held = F.expr("crc32(cast(doc_id as string)) % 4 = 2")
+    return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit_quality, score_quality
 
@@ -141,7 +150,7 @@ FROM l LEFT JOIN c USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op5_hilbert_sharding": op5_hilbert_sharding, "op7_quality": op7_quality, "op8_multi_index": op8_multi_index, "op10_line_dedup": op10_line_dedup}
+    return {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op5_hilbert_sharding": op5_hilbert_sharding, "op6_toxicity": op6_toxicity, "op7_quality": op7_quality, "op8_multi_index": op8_multi_index, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
