@@ -115,6 +115,12 @@ def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -150,7 +156,18 @@ FROM l LEFT JOIN c USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op5_hilbert_sharding": op5_hilbert_sharding, "op6_toxicity": op6_toxicity, "op7_quality": op7_quality, "op8_multi_index": op8_multi_index, "op10_line_dedup": op10_line_dedup}
+    return {
+        "op1_packing": op1_packing,
+        "op2_warc": op2_warc,
+        "op3_simhash": op3_simhash,
+        "op4_decontamination": op4_decontamination,
+        "op5_hilbert_sharding": op5_hilbert_sharding,
+        "op6_toxicity": op6_toxicity,
+        "op7_quality": op7_quality,
+        "op8_multi_index": op8_multi_index,
+        "op9_html_extraction": op9_html_extraction,
+        "op10_line_dedup": op10_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
