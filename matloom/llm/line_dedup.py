@@ -1,8 +1,9 @@
 """Line deduplication over overlapping windows of three lines.
 
 Windows are hashed where the text is read; first a count by one 64-bit hash leaves the windows
-that may repeat, then those few are compared by 128 bits. Only hashes and places are shuffled, and
-of the texts only those that the final join has to meet with their covered lines.
+that may repeat, then those few are compared by 128 bits. Up to there only hashes and places are
+shuffled; the last join brings the texts to their covered lines. The joins are merge joins at every
+size, since what repeats grows with the input and has no bound that would allow to send it out.
 """
 
 from __future__ import annotations
@@ -45,12 +46,12 @@ def covered_lines(keyed: DataFrame, span: int = 3) -> DataFrame:
     """
     found = windows(keyed, span)
     maybe = materialize(found.groupBy("h1").count().where("count > 1").select("h1"), "lines-repeated")
-    some = materialize(found.join(maybe, "h1"), "lines-windows")
+    some = materialize(found.join(maybe.hint("merge"), "h1"), "lines-windows")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "pos")
     first = materialize(some.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "f"), "lines-first")
     same = F.expr("doc_id <=> f.doc_id and k1 = f.k1 and k2 = f.k2")
     ahead = F.when(same, F.col("pos") - F.col("f.pos")).otherwise(F.lit(span))
-    later = some.join(first, ["h1", "h2"]).withColumn("ahead", ahead).where("ahead > 0")
+    later = some.join(first.hint("merge"), ["h1", "h2"]).withColumn("ahead", ahead).where("ahead > 0")
     begin = F.expr(f"element_at(lines, 1 + greatest({span} - ahead, 0))")
     return later.select("doc_id", "k1", "k2", F.struct(begin.alias("a"), F.element_at("lines", -1).alias("b")).alias("s")).groupBy("doc_id", "k1", "k2").agg(F.collect_set("s").alias("spans"))
 
@@ -94,7 +95,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cover = materialize(covered_lines(keyed, span), "lines-covered")
     text, doc = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("bigint")
     full = docs.select(doc.alias("doc_id"), *keep, text.alias("text")).withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(1), "doc_id")})
-    met = full.join(cover.withColumnsRenamed({"doc_id": "d", "k1": "j1", "k2": "j2"}), F.expr("k1 = j1 and k2 = j2 and doc_id <=> d"), "left")
+    cover = cover.withColumnsRenamed({"doc_id": "d", "k1": "j1", "k2": "j2"}).hint("merge")
+    met = full.join(cover, F.expr("k1 = j1 and k2 = j2 and doc_id <=> d"), "left")
     met = met.select("doc_id", *keep, "text", "spans")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema.fields if f.name not in ("text", "spans"))
     return met.mapInArrow(_rewritten, f"{kinds}, text string, n_lines bigint, n_removed bigint")
