@@ -9,6 +9,7 @@ place by their rank among those of equal length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,6 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Lower-case Latin words, which no normalisation changes; as UTF-8.
+_PLAIN = re.compile("(?:[a-z]|{})+".format("|".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)).encode())
+#: Punctuation that no contraction or special token has, so that a word before it stays a token run of its own.
+_ENDINGS = b".,;:!?%*#$&)]}"
+
 Pattern = tuple[tuple[int, ...], int]
 
 
@@ -35,16 +41,36 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in visible]
+        #: byte-level BPE writes a byte as its own character, or as one from U+0100 on if it is not visible
+        self.glyphs = [chr(b) if b in visible else chr(0x100 + hidden.index(b)) for b in range(256)]
 
     def learn(self, chunks: set[bytes]) -> None:
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > self.most:
+        """Have the ids of all chunks. Those of a plain word and its punctuation come from both parts."""
+        if len(self) + len(chunks) > self.most:
             self.clear()
-            new = list(chunks)
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
+        slow: list[bytes] = []
+        parts: list[tuple[bytes, bytes, bytes]] = []
+        for c in chunks:
+            if c not in self:
+                core = c.rstrip(_ENDINGS)
+                word = core.lower()
+                if _PLAIN.fullmatch(word):
+                    parts.append((c, word, c[len(core) :]))
+                else:
+                    slow.append(c)
+        slow += {tail for _, _, tail in parts if tail and tail not in self}
+        for a in range(0, len(slow), 20_000):
+            some = slow[a : a + 20_000]
+            for c, e in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)):
                 self[c] = np.array(e.ids, "<u4").tobytes()
+        split, glyph = self.tokenizer.model.tokenize, self.glyphs
+        for c, word, tail in parts:
+            ids = self.get(word)
+            if ids is None:
+                ids = self[word] = b"".join([t.id.to_bytes(4, "little") for t in split("".join([glyph[x] for x in word]))])
+            self[c] = ids + self[tail] if tail else ids
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
