@@ -40,8 +40,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component the document of smallest id; rows with a null id have no group and stay."""
-    found = materialize(simhash_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-copies")
-    kept = docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = materialize(simhash_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-copies")  # grows with the input: never sent out
+    kept = docs.join(found.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
     return kept if twice.isEmpty() else kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
 
@@ -51,7 +51,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     found = find_contamination(keyed, _table(spark, sf_dir, "benchmark"), id_col="_key").where(F.size("spans") > 0)
     hits = materialize(found.select(F.col("doc_id").alias("_key")).distinct(), "pipeline-leaks")
-    return keyed.join(hits, "_key", "left_anti").select(*docs.columns)
+    return keyed.join(hits.hint("merge"), "_key", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
