@@ -36,8 +36,8 @@ def column_stats(m: BigMatrix, skip_nan: bool = False) -> DataFrame:
     return partial.groupBy("col").agg(F.sum("cnt").alias("cnt"), least.alias("min"), F.max("max").alias("max"), F.sum("sum").alias("sum"))
 
 
-def tree_sum(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], fan_in: int = 32) -> np.ndarray | None:
-    """Sum of one array per task, added up in layers so that few arrays reach the driver."""
+def tree_sum(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], most: int = 64) -> np.ndarray | None:
+    """Sum of one array per task: added up by at most ``most`` tasks, whose arrays reach the driver."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = partial(batches)
@@ -54,12 +54,8 @@ def tree_sum(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.nda
             yield pa.RecordBatch.from_arrays([pa.array([shape], pa.list_(pa.int64())), pa.array([total.tobytes()], pa.binary())], ["shape", "data"])
 
     kind = "shape array<bigint>, data binary"
-    n = df.rdd.getNumPartitions()
-    parts = df.mapInArrow(first, kind)
-    while n > fan_in:
-        n = -(-n // fan_in)
-        parts = parts.repartition(n).mapInArrow(add, kind)
-    rows = parts.collect()
+    n = max(1, min(most, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
+    rows = df.mapInArrow(first, kind).repartition(n).mapInArrow(add, kind).collect()
     return sum(np.frombuffer(r["data"]).reshape(r["shape"]) for r in rows) if rows else None
 
 
