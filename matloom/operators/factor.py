@@ -291,6 +291,23 @@ def components_of_configs(m: BigMatrix, model: FactorModel, which: str, configs:
     return m.df.select("row_idx", "v").mapInArrow(run, "k int, n_known int, row_idx bigint, v array<double>")
 
 
+def per_config(m: BigMatrix, model: FactorModel, configs: Sequence[tuple[int, int]], fn, which: str = "signal_random", **options) -> dict[tuple[int, int], object]:
+    """fn(component) for every (k, n_known): distance matrices, ANOVA and the like over a sweep of models."""
+    return {(k, n): fn(component(m, model, which, k, n, **options)) for k, n in configs}
+
+
+def anova_by_config(m: BigMatrix, model: FactorModel, configs: Sequence[tuple[int, int]], groups: Sequence[Sequence[int]], **options) -> DataFrame:
+    """(k, n_known, row_idx, f)."""
+    from .tests_stat import row_anova
+
+    tables = per_config(m, model, configs, lambda c: row_anova(c, groups), **options)
+    out = None
+    for (k, n), t in tables.items():
+        t = t.select(F.lit(k).alias("k"), F.lit(n).alias("n_known"), "row_idx", "f")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 SUMS = ("ss_t", "ss_b", "ss_u", "ss_bu", "ss_r", "b_ss_bl", "b_ss_wl")
 
 

@@ -502,6 +502,27 @@ def variance_by_config(spark, d):
     return factor.decompose_variance(m, factor.fit_ruvs(m, GROUPS), [(0, 0), (1, 0), (2, 0), (5, 0)], rows=(0, 1 << 40))
 
 
+@query(_ANOVA + "SELECT CAST(0 AS INTEGER) AS k, row_idx, round(f, 6) AS f FROM f")
+def anova_without_factors(spark, d):
+    m = matrix_e(spark, d)
+    got = factor.anova_by_config(m, factor.fit_ruvs(m, GROUPS), [(0, 0)], GROUPS)
+    return got.select("k", "row_idx", _r("f").alias("f"))
+
+
+@query()
+def anova_by_config(spark, d):
+    m = matrix_e(spark, d)
+    return factor.anova_by_config(m, factor.fit_ruvs(m, GROUPS), [(1, 0), (3, 0)], GROUPS)
+
+
+@query()
+def distance_by_config(spark, d):
+    m = matrix_e(spark, d)
+    found = factor.per_config(m, factor.fit_ruvs(m, GROUPS), [(0, 0), (2, 0)], lambda c: pairwise.distance_matrix(c, "euclidean"))
+    rows = [(k, n, int(a), int(b), float(x[a, b])) for (k, n), x in found.items() for a, b in zip(*np.triu_indices(64, 1))]
+    return spark.createDataFrame(rows, "k int, n_known int, a int, b int, distance double")
+
+
 @query()
 def eigen_permutation_null(spark, d):
     from .functions.curves import explained_fractions
