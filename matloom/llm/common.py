@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +27,7 @@ def scratch_root(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_scratch:
         _own_scratch.append(tempfile.mkdtemp(prefix="matloom-"))
+        atexit.register(shutil.rmtree, _own_scratch[0], True)
     return "file://" + _own_scratch[0]
 
 
