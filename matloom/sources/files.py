@@ -233,6 +233,6 @@ def load(spark: SparkSession, spec: str, **options):
     from .store import load_output
 
     kind, place = parse_spec(spec)
-    if kind in ("output", "bigmat", "kmeans-data-mat", "kmeans-seeds-mat"):
+    if kind in ("output", "matrix", "kmeans-data-mat", "kmeans-seeds-mat"):
         return load_output(spark, place)
     return LOADERS[kind](spark, place, **options)

@@ -281,7 +281,7 @@ def test_sheets_and_specs():
 def test_store_steps_and_catalog(spark, tmp_path, x):
     m = of(spark, x)
     store.save_matrix(m, str(tmp_path / "s"))
-    assert np.allclose(back(files.load(spark, f"bigmat@{tmp_path}/s")), x)
+    assert np.allclose(back(files.load(spark, f"matrix@{tmp_path}/s")), x)
     store.export_rows(m, str(tmp_path / "r"), 2, 5, [8])
     assert np.allclose(back(store.load_output(spark, str(tmp_path / "r")))[:, 0], x[2:5, 7])
     store.export_taken(select.take_rows(m, [9, 9]), m, str(tmp_path / "t"))
