@@ -36,7 +36,7 @@ _CLOSE_P = BLOCK - {"caption", "tbody", "thead", "tfoot", "tr", "td", "th", "opt
 
 #: Tokens of class, id and role that name what is not, or is, the article.
 BOILERPLATE_TOKENS = tuple(
-    "ad ads advert advertisement adverts affiliate alert author-box banner bar bottom breadcrumb breadcrumbs bio byline comment comments consent cookie cookies disclaimer discussion disqus dialog footer form gdpr head header login masthead menu meta modal nav navbar navigation newsletter notice notification pager pagination popup print privacy promo promoted promotion rail reaction reactions recommend recommended related replies reply respond review reviews search share sharing sidebar sign-up signup skip skyscraper social sponsor sponsored subscribe subscription tag tags toc toolbar top topbar trending warning widget widgets complementary contentinfo banner".split()
+    "ad ads advert advertisement adverts affiliate alert author-box banner bar bottom breadcrumb breadcrumbs bio byline comment comments consent cookie cookies copyright disclaimer discussion disqus dialog footer form gdpr head header login masthead menu meta modal nav navbar navigation newsletter notice notification pager pagination popup print privacy promo promoted promotion rail reaction reactions recommend recommended related replies reply respond review reviews search share sharing sidebar sign-up signup skip skyscraper social sponsor sponsored subscribe subscription tag tags toc toolbar top topbar trending warning widget widgets complementary contentinfo banner".split()
 )
 CONTENT_TOKENS = tuple("article articlebody body content entry main page paragraph post postbody prose story text".split())
 
@@ -123,6 +123,8 @@ _BOILER_TAGS = frozenset("nav footer aside form header button select menu dialog
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _CONTROL = frozenset("input button select textarea option label".split())
 _BAD, _GOOD = frozenset(BOILERPLATE_TOKENS), frozenset(CONTENT_TOKENS)
+#: Long enough to mean the same inside a longer word, as in "commentlist".
+_STEMS = tuple(t for t in BOILERPLATE_TOKENS if len(t) >= 6)
 
 
 @functools.lru_cache(maxsize=4096)
@@ -138,6 +140,7 @@ def _tokens(attributes: str) -> tuple[frozenset[str], bool]:
                 found.add(word)
                 found.update(word.split("-"))
                 found.update("-".join(p) for p in zip(word.split("-"), word.split("-")[1:]))
+                found.update(t for t in _STEMS if t in word)
     return frozenset(found), hidden
 
 
