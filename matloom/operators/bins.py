@@ -112,10 +112,22 @@ def window_descriptors(sites: DataFrame, step: int, width: int) -> DataFrame:
 
 
 def centred_windows(sites: DataFrame, width: int, by: str = "bp") -> DataFrame:
-    """(ref, pos, n): sites in the window round each site, by distance ("bp") or by number of sites."""
-    w = Window.partitionBy("ref").orderBy("pos")
-    w = w.rangeBetween(-(width // 2), width - width // 2 - 1) if by == "bp" else w.rowsBetween(-(width // 2), width - width // 2 - 1)
-    return sites.select("ref", "pos", F.count("*").over(w).alias("n"))
+    """(ref, pos, n): sites in the window round each site, by distance ("bp") or by number of sites.
+
+    A reference is cut into cells of many widths, and sites near a border stand in both cells, so
+    that a reference with most of the sites is no single task.
+    """
+    from .order import with_rank
+
+    half, rest, cell = width // 2, width - width // 2 - 1, max(width, 1) * 64
+    if by == "bp":
+        placed = sites.select("ref", "pos", F.col("pos").alias("at"))
+    else:
+        placed = with_rank(sites.select("ref", "pos"), F.col("ref"), F.col("pos")).select("ref", "pos", F.col("rank").alias("at"))
+    near = F.sequence(F.floor((F.col("at") - rest) / cell), F.floor((F.col("at") + half) / cell))
+    each = placed.select("*", F.explode(near).alias("cell"))
+    w = Window.partitionBy("ref", "cell").orderBy("at").rangeBetween(-half, rest)
+    return each.select("ref", "pos", "at", "cell", F.count("*").over(w).alias("n")).where(F.col("cell") == F.floor(F.col("at") / cell)).select("ref", "pos", "n")
 
 
 def count_methylated(evidence: DataFrame) -> DataFrame:

@@ -56,10 +56,9 @@ def text_matrix(spark: SparkSession, path: str, n_rows: int | None = None, n_col
 
 
 def row_ids(spark: SparkSession, path: str, base: int = 0) -> DataFrame:
-    """(pos, row_idx) of a file with one id per line, ids counted from ``base``."""
+    """(pos, row_idx) of a file with one id per line, ids counted from ``base``; pos is the line's number."""
     lines = numbered_lines(spark, path).where(F.trim("value") != "")
-    order = Window.orderBy("line")
-    return lines.select((F.row_number().over(order) - 1).cast("bigint").alias("pos"), (F.trim("value").cast("bigint") - base).alias("row_idx"))
+    return lines.select(F.col("line").cast("bigint").alias("pos"), (F.trim("value").cast("bigint") - base).alias("row_idx"))
 
 
 # --- raw binary -------------------------------------------------------------------------------

@@ -137,6 +137,13 @@ def test_bins(spark):
     assert len(got) == 15 and got[(1, 8)] == 1 and got[(1, 7)] == 0 and got[(2, 1)] == 1 and got[(2, 4)] == 1
     flags = spark.createDataFrame([("c", 0, 10), ("c", 5, 20), ("c", 7, 8), ("c", 30, 40)], "ref string, start bigint, end bigint")
     assert bins.flagged_units(flags, "c", 3, 35).first()["n"] == 22
+    rng = np.random.default_rng(4)
+    pos = rng.integers(0, 5000, 300).tolist()
+    sites = spark.createDataFrame([("r", p) for p in pos] + [("q", 3)], "ref string, pos bigint")
+    got = sorted((r["pos"], r["n"]) for r in bins.centred_windows(sites, 6).where("ref = 'r'").collect())
+    assert got == sorted((p, sum(p - 3 <= q <= p + 2 for q in pos)) for p in pos)
+    got = sorted((r["pos"], r["n"]) for r in bins.centred_windows(sites, 5, by="sites").where("ref = 'r'").collect())
+    assert got == sorted((p, min(k + 2, 299) - max(k - 2, 0) + 1) for k, p in enumerate(sorted(pos)))
     assert sorted(["chr10", "chr2", "chr1"], key=bins.natural_key) == ["chr1", "chr2", "chr10"]
 
 
