@@ -267,6 +267,6 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids],
             )
 
-    ranked = pieces.join(first.select("task", "length", "first"), ["task", "length"]).withColumn("rank", F.col("first") + F.col("nth"))
+    ranked = pieces.join(first.select("task", "length", "first").hint("merge"), ["task", "length"]).withColumn("rank", F.col("first") + F.col("nth"))
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
     return ranked.mapInArrow(place, schema + ", ids binary" * keep_ids)
