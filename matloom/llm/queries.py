@@ -115,6 +115,17 @@ def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(_table(spark, sf_dir, "embeddings"))
 
 
+OP8_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.9),
+reach AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.other),
+component AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM component LEFT JOIN counted USING (vec_id)
+"""
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import main_text
 
@@ -171,4 +182,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op4_decontamination": OP4_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op4_decontamination": OP4_SQL, "op8_multi_index": OP8_SQL, "op10_line_dedup": OP10_SQL}
