@@ -158,8 +158,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: i
         .limit(fit_rows)
     )
     wanted = F.broadcast(known)  # fit_rows rows of two numbers at most
-    text = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_t")).join(wanted, "_id").dropDuplicates(["_id"])
-    rows = with_statistics(text, "_t", "").select("_id", "_y", *STATISTICS).toPandas().sort_values("_id")
+    text = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_t")).join(wanted, "_id")
+    # counted where the texts are read: only numbers are shuffled
+    stats = with_statistics(text, "_t", "").select("_id", F.struct("_y", *STATISTICS).alias("_s")).groupBy("_id").agg(F.min("_s").alias("_s"))
+    rows = stats.select("_id", "_s.*").toPandas().sort_values("_id")
     return fit_rules(rows[STATISTICS].to_numpy(float), rows["_y"].to_numpy(int), STATISTICS, **options)
 
 
