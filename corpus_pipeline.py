@@ -39,11 +39,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document of smallest id; rows with a null id have no group and stay."""
-    found = materialize(simhash_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-copies")  # grows with the input: never sent out
-    kept = docs.join(found.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    return kept if twice.isEmpty() else kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """Of each SimHash component the document of smallest id.
+
+    If ids repeat or are null, rows are told apart by a hash of id and text, and that of least hash stays.
+    """
+    n = docs.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    by = "doc_id" if n["rows"] == n["ids"] else "_key"
+    keyed = docs if by == "doc_id" else docs.withColumn("_key", F.xxhash64("doc_id", "text")).dropDuplicates(["_key"])
+    found = simhash_components(keyed, by).where("doc_id <> component_id").select(F.col("doc_id").alias(by))
+    copies = materialize(found, "pipeline-copies")  # grows with the input: never sent out
+    return keyed.join(copies.hint("merge"), by, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
