@@ -360,6 +360,17 @@ def test_pipeline_stages_by_brute_force(spark):
     assert {r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, docs, SMALL).collect()} == clean
 
 
+def test_one_row_of_each_group_stays_when_ids_repeat(spark):
+    from .test_text_ops import brute_fingerprint, components
+
+    rows = awkward(15) + [(3, "another text with the id of three " * 3), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, SMALL).collect()]
+    root = components([brute_fingerprint(t) for _, t in rows], lambda a, b: (a ^ b).bit_count() <= 4)
+    group = {row: r for row, r in zip(rows, root)}
+    assert sorted(group[k] for k in kept) == sorted(set(root))
+
+
 def test_pipeline_stages_on_awkward_tables(spark):
     columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     for rows in (awkward(14), []):
