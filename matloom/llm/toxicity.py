@@ -8,7 +8,6 @@ the risk of the unlabelled as negatives is subtracted by the class prior, and ne
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,22 +60,39 @@ class ToxicityModel:
         return score
 
 
-def _matrix(docs: list[set[str]], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all documents end to end, and the document of each."""
-    index, row = [], []
-    cache: dict[str, list[int]] = {}
-    for k, words in enumerate(docs):
+class Words:
+    """Documents as arrays of word numbers; words and their features are kept once."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.feature: dict[str, int] = {}
+        self.of_word: list[int] = []
+        self.word_from: list[int] = [0]
+
+    def add(self, words) -> np.ndarray:
+        out = []
         for w in words:
-            got = cache.get(w)
-            if got is None:
-                got = cache[w] = [number[f] for f in features_of(w) if f in number]
-            index += got
-            row += [k] * len(got)
-    return np.array(index, np.int64), np.array(row, np.int64)
+            k = self.number.get(w)
+            if k is None:
+                k = self.number[w] = len(self.number)
+                self.of_word += [self.feature.setdefault(f, len(self.feature)) for f in features_of(w)]
+                self.word_from.append(len(self.of_word))
+            out.append(k)
+        return np.array(out, np.int32)
+
+    def freeze(self) -> None:
+        self.of_word, self.word_from = np.array(self.of_word, np.int32), np.array(self.word_from, np.int64)
+
+    def features(self, doc: np.ndarray) -> np.ndarray:
+        """Feature numbers of a document's words, one after another."""
+        n = self.word_from[doc + 1] - self.word_from[doc]
+        return self.of_word[np.repeat(self.word_from[doc] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
 
 
-def nnpu_fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, most_features: int = 3000, steps: int = 400, rate: float = 0.05, ridge: float = 5e-4, slack: float = 0.0) -> ToxicityModel:
-    """Minimise prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)) by Adam.
+def nnpu_fit(positive, unlabelled, prior: float, most_features: int = 3000, steps: int = 400, rate: float = 0.05, ridge: float = 5e-4, slack: float = 0.0) -> ToxicityModel:
+    """From documents as collections of distinct words.
+
+    Minimises prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)) by Adam.
 
     Features are those whose rate among the positives exceeds that among the unlabelled by
     1 + log10(number of positives) times its error: the more texts, the more features are tried,
@@ -86,23 +102,30 @@ def nnpu_fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float,
     base = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return ToxicityModel({}, base)
+    words = Words()
+    kinds = [[words.add(d) for d in docs] for docs in (positive, unlabelled)]
+    words.freeze()
     rates = []
-    for docs in (positive, unlabelled):
-        seen: Counter[str] = Counter()
-        for words in docs:
-            seen.update({f for w in words for f in features_of(w)})
+    for docs in kinds:
+        seen = np.zeros(len(words.feature), np.int64)
+        for d in docs:
+            seen[np.unique(words.features(d))] += 1
         rates.append(seen)
-    n_p, n_u = len(positive), len(unlabelled)
-    ranked, least_z = [], 1 + np.log10(n_p)
-    for f, c in rates[0].items():
-        if c >= 3:
-            p, u = c / n_p, rates[1][f] / n_u
-            z = (p - u) / ((p * (1 - p) + 1 / n_p) / n_p + (u * (1 - u) + 1 / n_u) / n_u) ** 0.5
-            if z > least_z:
-                ranked.append((-z, f))
-    chosen = [f for _, f in sorted(ranked)[:most_features]]
-    number = {f: k for k, f in enumerate(chosen)}
-    (pi, pr), (ui, ur) = _matrix(positive, number), _matrix(unlabelled, number)
+    n_p, n_u = len(kinds[0]), len(kinds[1])
+    p, u = rates[0] / n_p, rates[1] / n_u
+    z = (p - u) / ((p * (1 - p) + 1 / n_p) / n_p + (u * (1 - u) + 1 / n_u) / n_u) ** 0.5
+    names = list(words.feature)
+    found = np.flatnonzero((rates[0] >= 3) & (z > 1 + np.log10(n_p))).tolist()
+    chosen = [names[f] for f in sorted(found, key=lambda f: (-z[f], names[f]))[:most_features]]
+    place = np.full(len(names), -1, np.int64)
+    place[[words.feature[f] for f in chosen]] = np.arange(len(chosen))
+
+    def matrix(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the chosen features of all documents end to end, and the document of each."""
+        got = [x[x >= 0] for x in (place[words.features(d)] for d in docs)]
+        return np.concatenate(got), np.repeat(np.arange(len(got)), [len(g) for g in got])
+
+    (pi, pr), (ui, ur) = matrix(kinds[0]), matrix(kinds[1])
     k = len(chosen)
     w, b = np.zeros(k + 1), base
     w[k] = b
@@ -128,13 +151,16 @@ def nnpu_fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float,
     return ToxicityModel({f: float(x) for f, x in zip(chosen, w) if x}, float(w[k]))
 
 
-def _word_sets(df: DataFrame) -> list[set[str]]:
+def _word_lists(df: DataFrame) -> list[list[str]]:
+    """Distinct words of (_id, _t), one list per id in their order; words are taken where the texts are read."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0)
-            yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(words_in(texts[k].as_py()))) for k in range(batch.num_rows)])], ["words"])
+            texts = batch.column(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(sorted(words_in(texts[k].as_py()))) for k in range(batch.num_rows)], pa.string())], ["_id", "words"])
 
-    return [set(r["words"].split()) for r in df.mapInArrow(run, "words string").collect()]
+    once = df.select("_id", "_t").mapInArrow(run, "_id bigint, words string").groupBy("_id").agg(F.min("words").alias("words"))
+    return [r["words"].split() for r in once.orderBy("_id").collect()]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", prior: float | None = None, positives: int = FIT_POSITIVES, unlabelled: int = FIT_UNLABELLED, **options) -> ToxicityModel:
@@ -154,10 +180,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold:
     text = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_t")).where(fold("_id"))
     some = text.select("_id").distinct().orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(unlabelled)
     # both sides that are sent out have a stated number of rows of one number
-    p = _word_sets(text.join(F.broadcast(toxic), "_id").dropDuplicates(["_id"]).select("_t"))
-    u = _word_sets(text.join(F.broadcast(some), "_id").dropDuplicates(["_id"]).select("_t"))
-    order = lambda sets: sorted(sets, key=lambda s: (len(s), sorted(s)))
-    return nnpu_fit(order(p), order(u), prior, **options)
+    p = _word_lists(text.join(F.broadcast(toxic), "_id").select("_id", "_t"))
+    u = _word_lists(text.join(F.broadcast(some), "_id").select("_id", "_t"))
+    return nnpu_fit(p, u, prior, **options)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
