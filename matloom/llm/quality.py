@@ -176,3 +176,17 @@ def score_quality(docs: DataFrame, model: RuleModel, text_col: str = "text") ->
         prefix = "_" + prefix
     held = with_statistics(docs, text_col, prefix)
     return held.withColumn("score", model.score({k: F.col(prefix + k) for k in STATISTICS})).drop(*(prefix + k for k in STATISTICS))
+
+
+def accepted(docs: DataFrame, model: RuleModel, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their columns, whose score is at least the threshold.
+
+    The row number keeps the optimiser from moving the condition below the statistics, where a
+    filter would work out each of them again for every rule that names it.
+    """
+    number = "_row"
+    while any(c.startswith(number) for c in docs.columns):
+        number = "_" + number
+    scored = score_quality(docs.withColumnRenamed("score", number + "_score"), model, text_col).withColumn(number, F.monotonically_increasing_id())
+    kept = scored.where((F.col("score") >= threshold) & (F.col(number) >= 0)).drop("score")
+    return kept.withColumnRenamed(number + "_score", "score").select(*docs.columns)

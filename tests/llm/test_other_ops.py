@@ -179,6 +179,17 @@ def test_compiled_rules_equal_numpy(spark):
     assert np.allclose(np.sort(got["score"]), np.sort(1 / (1 + np.exp(-total))))
 
 
+def test_accepted_rows_are_those_of_the_score(spark):
+    docs = documents(spark, awkward(16))
+    model = quality.RuleModel([((("log_chars", True, 5.0),), 1.0), ((("distinct_words", False, 0.9), ("pipes", True, 0.1)), -2.0)], 0.2)
+    low = quality.score_quality(docs.drop("score"), model).where("score < 0.5").count()
+    kept = quality.accepted(docs, model, 0.5)
+    assert 0 < low < docs.count() and kept.count() == docs.count() - low and kept.columns == docs.columns
+    assert {r["score"] for r in kept.select("score").collect()} == {"y"}
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in next(x for x in plan.splitlines() if "Filter" in x)
+
+
 def test_nnpu_beats_plain_positive_against_unlabelled():
     rng = np.random.default_rng(1)
     word = lambda n: {f"w{k}" for k in rng.integers(0, 400, n)}
