@@ -13,7 +13,7 @@ from matloom.llm.common import materialize
 from matloom.llm.decontam import find_contamination
 from matloom.llm.line_dedup import dedup_lines
 from matloom.llm.packing import pack
-from matloom.llm.quality import fit_quality, score_quality
+from matloom.llm.quality import accepted, fit_quality
 from matloom.llm.simhash import simhash_components
 
 
@@ -24,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.3 or more; the rules are fitted on the labelled rows among docs."""
     model = fit_quality(docs, _table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).where("score >= 0.3").select(*docs.columns)
+    return accepted(docs, model, 0.3)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
