@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import connected_components, materialize, release
 from .simhash import NO_ID, unite
@@ -97,20 +98,25 @@ def fit_index(sample: np.ndarray, n: int, threshold: float, target_recall: float
     return index
 
 
-def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec: the components as little-endian doubles; null if there is no usable vector."""
-    for batch in batches:
-        ids, vectors = batch.column(0), batch.column(1)
-        out = []
-        for v in vectors:
-            x = None if not v.is_valid else v.values.to_numpy(zero_copy_only=False).astype("<f8", copy=False)
-            usable = x is not None and len(x) and not v.values.null_count and np.isfinite(x).all() and 0 < float(x @ x) < np.inf
-            out.append((x + 0.0).tobytes() if usable else None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary())], ["vec_id", "vec"])
+def _clean(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """vec: the components as little-endian numbers of their own kind; null if there is no usable vector."""
+        for batch in batches:
+            ids, vectors = batch.column(0), batch.column(1)
+            out = []
+            for v in vectors:
+                x = None if not v.is_valid else v.values.to_numpy(zero_copy_only=False).astype(kind, copy=False)
+                usable = x is not None and len(x) and not v.values.null_count and np.isfinite(x).all() and 0 < float((y := x.astype(float)) @ y) < np.inf
+                out.append((x + x.dtype.type(0)).tobytes() if usable else None)  # -0 becomes 0: equal vectors have equal bytes
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary())], ["vec_id", "vec"])
+
+    return run
 
 
 def _unit(column: pa.Array, dims: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dims)
+    """Unit vectors in double precision; four or eight bytes a component."""
+    data = b"".join(column.to_pylist())
+    x = np.frombuffer(data, "<f8" if len(data) == 8 * dims * len(column) else "<f4").astype(float).reshape(-1, dims)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -188,7 +194,10 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, target_recall: f
     distinct vectors, those of least hash; every row is indexed and searched.
     """
     read = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("embedding"))
-    rows = read.mapInArrow(_clean, "vec_id bigint, vec binary")
+    kind = "<f4" if isinstance(read.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
+    if kind == "<f8":
+        read = read.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    rows = read.mapInArrow(_clean(kind), "vec_id bigint, vec binary")
     rows = materialize(rows.withColumn("h", F.when(F.col("vec").isNotNull(), F.xxhash64("vec"))), "vectors")
     classes = rows.where("h is not null").groupBy("h").agg(F.first("vec").alias("vec"), F.count("*").alias("n"), F.min("vec_id").alias("rep"))
     classes = materialize(classes.select("h", "vec", "n", F.coalesce("rep", F.lit(NO_ID) + F.expr("shiftrightunsigned(h, 2)")).alias("rep")), "vector-classes")
@@ -198,10 +207,9 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, target_recall: f
         return alone
     lengths = [len(s) for s in sample]
     width = max(set(lengths), key=lambda x: (lengths.count(x), x))
-    dims = width // 8
+    dims = width // np.dtype(kind).itemsize
     usable = classes.where(F.octet_length("vec") == width)
-    x = np.frombuffer(b"".join(s for s in sample if len(s) == width), "<f8").reshape(-1, dims)
-    index = fit_index(x / np.sqrt((x * x).sum(1))[:, None], usable.count(), threshold, target_recall)
+    index = fit_index(_unit(pa.array([s for s in sample if len(s) == width], pa.binary()), dims), usable.count(), threshold, target_recall)
     grid = len(index.first) * len(index.second)
     located = materialize(usable.select("h", "n", "vec").mapInArrow(_locate(index, dims), "h bigint, n bigint, vec binary, home int, visits array<int>"), "vector-cells")
     blocks = lambda c: F.ceil(F.col(c) / block_rows).cast("int")
