@@ -90,7 +90,7 @@ class Words:
 
 
 def nnpu_fit(positive, unlabelled, prior: float, most_features: int = 3000, steps: int = 400, rate: float = 0.05, ridge: float = 5e-4, slack: float = 0.0) -> ToxicityModel:
-    """From documents as collections of distinct words.
+    """From documents as collections of distinct words, or as strings of them between spaces.
 
     Minimises prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)) by Adam.
 
@@ -103,7 +103,7 @@ def nnpu_fit(positive, unlabelled, prior: float, most_features: int = 3000, step
     if not positive or not unlabelled:
         return ToxicityModel({}, base)
     words = Words()
-    kinds = [[words.add(d) for d in docs] for docs in (positive, unlabelled)]
+    kinds = [[words.add(d.split() if isinstance(d, str) else d) for d in docs] for docs in (positive, unlabelled)]
     words.freeze()
     rates = []
     for docs in kinds:
@@ -151,8 +151,8 @@ def nnpu_fit(positive, unlabelled, prior: float, most_features: int = 3000, step
     return ToxicityModel({f: float(x) for f, x in zip(chosen, w) if x}, float(w[k]))
 
 
-def _word_lists(df: DataFrame) -> list[list[str]]:
-    """Distinct words of (_id, _t), one list per id in their order; words are taken where the texts are read."""
+def _words_of(df: DataFrame) -> list[str]:
+    """Distinct words of (_id, _t) as one string per id, in the order of ids; words are taken where the texts are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +160,7 @@ def _word_lists(df: DataFrame) -> list[list[str]]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(sorted(words_in(texts[k].as_py()))) for k in range(batch.num_rows)], pa.string())], ["_id", "words"])
 
     once = df.select("_id", "_t").mapInArrow(run, "_id bigint, words string").groupBy("_id").agg(F.min("words").alias("words"))
-    return [r["words"].split() for r in once.orderBy("_id").collect()]
+    return once.orderBy("_id").toPandas()["words"].tolist()
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", prior: float | None = None, positives: int = FIT_POSITIVES, unlabelled: int = FIT_UNLABELLED, **options) -> ToxicityModel:
@@ -180,8 +180,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold:
     text = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_t")).where(fold("_id"))
     some = text.select("_id").distinct().orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(unlabelled)
     # both sides that are sent out have a stated number of rows of one number
-    p = _word_lists(text.join(F.broadcast(toxic), "_id").select("_id", "_t"))
-    u = _word_lists(text.join(F.broadcast(some), "_id").select("_id", "_t"))
+    p = _words_of(text.join(F.broadcast(toxic), "_id").select("_id", "_t"))
+    u = _words_of(text.join(F.broadcast(some), "_id").select("_id", "_t"))
     return nnpu_fit(p, u, prior, **options)
 
 
