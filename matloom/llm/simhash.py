@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, release
 
-#: Stands for the id of a class whose documents all have a null id; never returned.
+#: From here on numbers stand for classes whose rows all have a null id (multi_index); never returned.
 NO_ID = 1 << 62
 
 
@@ -242,14 +242,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     into one component. An empty table gives no rows; other columns are not read.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, width, seed), "simhash-fp")
-    classes = materialize(
-        fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.expr("shiftrightunsigned(xxhash64(fp), 2)")).alias("rep")), "simhash-classes"
-    )
-    edges = materialize(fingerprint_links(classes, radius, shard_rows), "simhash-links")
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    # fingerprints stand for their classes: any id may be a component's least, and null is told from all of them
+    edges = materialize(fingerprint_links(classes.select("fp", F.col("fp").alias("rep")), radius, shard_rows), "simhash-links")
     roots = materialize(connected_components(edges), "simhash-roots")
-    component = F.coalesce("root", "rep")
-    of_fp = materialize(
-        classes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.when(component < NO_ID, component).alias("component_id")), "simhash-components"
-    )
-    release(classes, edges, roots)
+    of = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    of = materialize(of, "simhash-of")
+    least = materialize(of.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
+    of_fp = materialize(of.join(least, "root").select("fp", "component_id"), "simhash-components")
+    release(classes, edges, roots, of, least)
     return fps.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -12,12 +13,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matloom.llm import html_extract, multi_index, quality, toxicity, warc
+from matloom.llm import html_extract, multi_index, quality, simhash, toxicity, warc
 from matloom.llm import queries as llm
 from matloom.llm.common import materialize
 from tests.oracle import assert_same, duck
 
-from .helpers import awkward, documents
+from .helpers import awkward, documents, words
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -382,6 +383,25 @@ def test_one_row_of_each_group_stays_when_ids_repeat(spark):
     assert sorted(group[k] for k in kept) == sorted(set(root))
 
 
+def test_every_group_keeps_one_row_when_one_id_is_null(spark):
+    from .test_text_ops import brute_fingerprint, components
+
+    rng = random.Random(16)
+    texts = [words(rng, 40) for _ in range(400)]
+    rows = [(2 * k + copy, t) for k, t in enumerate(texts) for copy in (0, 1)] + [(None, "one row without an id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = Counter(r["text"] for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, SMALL).collect())
+    group = dict(zip([t for _, t in rows], components([brute_fingerprint(t) for _, t in rows], lambda a, b: (a ^ b).bit_count() <= 4)))
+    assert sorted(group[t] for t in kept.elements()) == sorted(set(group.values()))
+
+
+def test_components_of_the_largest_ids(spark):
+    big = (1 << 63) - 1
+    rows = [(big, "a b c d e"), (big - 1, "a b c d e"), (None, "f g h i j"), (-big, "k l m n o")]
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.simhash_components(documents(spark, rows)).collect()}
+    assert got == {(big, big - 1), (big - 1, big - 1), (None, None), (-big, -big)}
+
+
 def test_pipeline_stages_on_awkward_tables(spark):
     columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     for rows in (awkward(14), []):
