@@ -2,7 +2,8 @@
 
 Two codebooks, one for each half of the vectors, span a product grid of cells (Babenko and
 Lempitsky 2012). Every distinct vector lies in the list of its nearest cell and visits the cells
-nearest to it by multi-sequence traversal, as far as a margin calibrated for the target recall.
+nearest to it by multi-sequence traversal, as far as a margin calibrated for the target recall on
+pairs that a sample of vectors forms with all of them.
 What it meets there is verified by cosine in double precision. Equal vectors are one class with a
 count. Long lists are cut into blocks and searched block by block, and a block returns counts and
 the star of each connected part, so that dense groups make no pairs outside a task.
@@ -74,12 +75,11 @@ class MultiIndex:
 
 
 def fit_index(sample: np.ndarray, n: int, threshold: float, target_recall: float, list_size: int = 256, most: int = 256, seed: int = 3) -> MultiIndex:
-    """Codebooks of about sqrt(n / list_size) words, and the margin for the target recall.
+    """Codebooks of about sqrt(n / list_size) words, and a margin for partners in random directions.
 
     For vectors of the sample, partners at exactly the threshold cosine in random directions are
     made; the margin is the quantile of what one direction of the search needs to reach the
-    partner's cell. A pair is also found from its other end, and nearer pairs more easily, so the
-    recall of the search is higher than the target.
+    partner's cell. Vectors near fewer dimensions have partners that need more: see true_margin.
     """
     k = max(1, min(most, round((n / list_size) ** 0.5), len(sample)))
     a, b = _halves(sample)
@@ -132,6 +132,58 @@ def _locate(index: MultiIndex, dims: int):
     return run
 
 
+#: Needed margins are counted in steps of this width; halves of unit vectors lie at most 4 apart, squared.
+_STEP = 1 / 1024
+
+
+def _needs(index: MultiIndex, dims: int, hashes: np.ndarray, queries: np.ndarray, threshold: float, block: int = 1024):
+    """How many pairs of a query and a row need a margin up to each step to meet: (near, step, n); near: cosine just above."""
+    p, q = index.costs(queries)
+    least = p.min(1) + q.min(1)
+    brink = threshold + (1 - threshold) / 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, int(16 / _STEP)), np.int64)
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            for a in range(0, batch.num_rows, block):
+                x = _unit(batch.column(1).slice(a, block), dims)
+                cosine = x @ queries.T
+                i, j = np.nonzero(cosine >= threshold)
+                other = h[a + i] != hashes[j]
+                i, j = i[other], j[other]
+                if not len(i):
+                    continue
+                some, at = np.unique(i, return_inverse=True)
+                u, v = index.costs(x[some])
+                need = p[j, u.argmin(1)[at]] + q[j, v.argmin(1)[at]] - least[j]
+                step = np.minimum(np.ceil(need / _STEP).astype(np.int64), total.shape[1] - 1)
+                np.add.at(total, ((cosine[i, j] < brink).astype(np.int64), step), 1)
+        near, step = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), pa.array(step.astype(np.int32)), pa.array(total[near, step])], ["near", "step", "n"])
+
+    return run
+
+
+def true_margin(index: MultiIndex, classes: DataFrame, dims: int, hashes: np.ndarray, queries: np.ndarray, threshold: float, target_recall: float) -> float:
+    """The margin by which queries reach the target share of their true partners among all rows of classes(h, vec).
+
+    It is the larger of what all partners need and what those just above the threshold need, in
+    one direction of the search; 0 if there are no partners.
+    """
+    needs = classes.select("h", "vec").mapInArrow(_needs(index, dims, hashes, queries, threshold), "near int, step int, n bigint")
+    rows = needs.groupBy("near", "step").agg(F.sum("n").alias("n")).collect()  # at most the steps, twice
+    out = 0.0
+    for kinds in ((0, 1), (1,)):
+        counts = np.zeros(int(16 / _STEP), np.int64)
+        for r in rows:
+            if r["near"] in kinds:
+                counts[r["step"]] += r["n"]
+        if counts.any():
+            out = max(out, float(np.searchsorted(np.cumsum(counts), target_recall * counts.sum())) * _STEP + 1e-9)
+    return out
+
+
 def _verify(dims: int, grid: int, threshold: float, block: int = 1024):
     """Links between the list block and the visitors' block of each (cell, i, j)."""
 
@@ -183,7 +235,7 @@ def _verify(dims: int, grid: int, threshold: float, block: int = 1024):
     return run
 
 
-def embedding_links(vectors: DataFrame, threshold: float = 0.9, target_recall: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 20_000, block_rows: int = 1024) -> DataFrame:
+def embedding_links(vectors: DataFrame, threshold: float = 0.9, target_recall: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 20_000, block_rows: int = 1024, query_rows: int = 1024) -> DataFrame:
     """One row per input row: (vec_id, n_links, component_id, kept).
 
     n_links counts the other rows whose cosine with this one is found to be at least ``threshold``
@@ -191,7 +243,9 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, target_recall: f
     reach. Vectors that are null, empty, zero, hold null or non-finite components, or have another
     length than most of the sample link with nothing. A component of null ids only has a null
     component_id; such rows are not kept. The codebooks are fitted on at most ``sample_rows``
-    distinct vectors, those of least hash; every row is indexed and searched.
+    distinct vectors, those of least hash; every row is indexed and searched. The search margin is
+    the larger of two: for made partners (fit_index) and for the true partners that the first
+    ``query_rows`` vectors of the sample have among all rows (true_margin).
     """
     read = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("embedding"))
     kind = "<f4" if isinstance(read.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
@@ -201,7 +255,8 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, target_recall: f
     rows = materialize(rows.withColumn("h", F.when(F.col("vec").isNotNull(), F.xxhash64("vec"))), "vectors")
     classes = rows.where("h is not null").groupBy("h").agg(F.first("vec").alias("vec"), F.count("*").alias("n"), F.min("vec_id").alias("rep"))
     classes = materialize(classes.select("h", "vec", "n", F.coalesce("rep", F.lit(NO_ID) + F.expr("shiftrightunsigned(h, 2)")).alias("rep")), "vector-classes")
-    sample = [bytes(r["vec"]) for r in classes.orderBy("h").limit(sample_rows).select("vec").collect()]
+    drawn = classes.orderBy("h").limit(sample_rows).select("h", "vec").collect()
+    sample = [bytes(r["vec"]) for r in drawn]
     alone = rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     if not sample:
         return alone
@@ -209,8 +264,12 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, target_recall: f
     width = max(set(lengths), key=lambda x: (lengths.count(x), x))
     dims = width // np.dtype(kind).itemsize
     usable = classes.where(F.octet_length("vec") == width)
-    index = fit_index(_unit(pa.array([s for s in sample if len(s) == width], pa.binary()), dims), usable.count(), threshold, target_recall)
+    fitted = _unit(pa.array([s for s in sample if len(s) == width], pa.binary()), dims)
+    index = fit_index(fitted, usable.count(), threshold, target_recall)
     grid = len(index.first) * len(index.second)
+    if grid > 1:
+        hashes = np.array([r["h"] for r in drawn if len(r["vec"]) == width], np.int64)[:query_rows]
+        index.margin = max(index.margin, true_margin(index, usable, dims, hashes, fitted[:query_rows], threshold, target_recall))
     located = materialize(usable.select("h", "n", "vec").mapInArrow(_locate(index, dims), "h bigint, n bigint, vec binary, home int, visits array<int>"), "vector-cells")
     blocks = lambda c: F.ceil(F.col(c) / block_rows).cast("int")
     cells = (  # at most as many rows as the grid has cells
