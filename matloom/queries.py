@@ -458,7 +458,7 @@ def kmeans_fixed_iters(spark, d):
 
 @query()
 def fk_statistic(spark, d):
-    return kmeans.results_table(spark, kmeans.kmeans_batch(matrix_e(spark, d), [1, 2, 3, 4], max_iterations=5), 64)
+    return kmeans.results_table(spark, kmeans.kmeans_batch(matrix_e(spark, d), [1, 2, 3, 4]), 64)
 
 
 def _logged(spark, d) -> BigMatrix:
