@@ -226,8 +226,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     window. Null and empty texts have no words. Items with a null id are searched, but not listed.
     Repeated document rows give repeated rows; an empty table gives none, an empty benchmark no
     hits. Columns other than the named ones are not read. A benchmark of more than ``block_bytes``
-    is searched in blocks, whose spans and items are joined by row; ids must be unique then.
+    is searched in blocks, whose spans and items are joined by row: rows are written with a number
+    of their own then, so ids may repeat or be null here too.
     """
+    size = benchmark.agg(F.sum(F.octet_length(F.col(item_text_col).cast("binary")))).first()[0] or 0
+    rows = None
+    if size >= block_bytes:
+        rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("binary").alias("text"), F.monotonically_increasing_id().alias("_row"))
+        docs, id_col, text_col = (rows := materialize(rows, "decontam-rows")), "_row", "text"
     found: list[DataFrame] = []
     for block in blocks_of_items(benchmark, item_col, item_text_col, block_bytes):
         if not block and found:
@@ -235,9 +241,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         phrases = phrases_of(block, window)
         index = materialize(build_index(docs, phrases.vocabulary, id_col, text_col), "decontam-index")
         found.append(search_phrases(index, phrases))
-    if len(found) == 1:
+    if rows is None:
         return found[0]
-    return _merge(found)
+    merged = (_merge(found) if len(found) > 1 else found[0]).withColumnRenamed("doc_id", "_row")
+    named = merged.join(rows.select("_row", "_id").hint("merge"), "_row")
+    return named.select(F.col("_id").alias("doc_id"), "n_words", "spans", "items")
 
 
 def _merge(found: list[DataFrame]) -> DataFrame:
