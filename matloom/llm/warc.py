@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from .common import materialize, scratch_path
 
 _PLACE = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
-_HEAD_LIMIT = 1 << 16
 RECORD_URN = "urn:matloom:page:"
 
 
@@ -62,12 +61,17 @@ def digest32(data: bytes) -> str:
 
 def _plain(whole: bytes, at: int) -> Record:
     """The record whose version line is at ``at``; raises Damaged if any check fails."""
-    head_end = whole.find(b"\r\n\r\n", at, at + _HEAD_LIMIT)
-    if head_end < 0:
-        raise Damaged("header without end")
     headers: dict[str, str] = {}
     last = ""
-    for line in whole[at:head_end].split(b"\r\n")[1:]:
+    line_end = whole.find(b"\r\n", at)
+    while True:  # line by line, of any length: what is no header line ends the search
+        begin = line_end + 2
+        line_end = whole.find(b"\r\n", begin)
+        if line_end < 0:
+            raise Damaged("header without end")
+        if line_end == begin:
+            break
+        line = whole[begin:line_end]
         if line[:1] in (b" ", b"\t") and last:
             headers[last] += " " + line.strip().decode("utf-8", "replace")
             continue
@@ -79,7 +83,7 @@ def _plain(whole: bytes, at: int) -> Record:
     length = headers.get("content-length", "")
     if not re.fullmatch("[0-9]{1,18}", length):
         raise Damaged("no content length")
-    begin, end = head_end + 4, head_end + 4 + int(length)
+    begin, end = line_end + 2, line_end + 2 + int(length)
     if end + 4 > len(whole):
         raise Damaged("cut off")
     if whole[end : end + 4] != b"\r\n\r\n":
