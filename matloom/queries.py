@@ -331,6 +331,14 @@ def per_unit_coverage(spark, d):
     return B.coverage(g, b, BIN, wanted)
 
 
+@query()
+def per_unit_coverage_all_bins(spark, d):
+    """Every bin that an interval touches; per_unit_coverage is the part of it that its SQL covers."""
+    g, b = points_g(spark, d), bins_g(spark, d)
+    ends = [B.located(g, b, BIN, pos).where("bin >= 0").select("bin") for pos in (F.col("start"), F.least(F.col("end"), F.lit(MONTH)) - 1)]
+    return B.coverage(g, b, BIN, ends[0].unionByName(ends[1]).distinct())
+
+
 @query(f"WITH {G}, i AS (SELECT s AS a, s + 1 + event_id % 100 AS z FROM g WHERE ref = (SELECT min(ref) FROM g)) SELECT count(DISTINCT x) AS n FROM i, unnest(range(a, z)) AS t(x) WHERE x >= 100000 AND x < 1000000")
 def flagged_units(spark, d):
     g = points_g(spark, d)
