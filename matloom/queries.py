@@ -413,6 +413,14 @@ def regions_of_points(spark, d):
     return joins.in_ranges(g.select("ref", "start", "event_id"), r, "start", "a", "z", 256, on="ref").select("event_id", "region")
 
 
+@query()
+def regions_of_points_all_events(spark, d):
+    """Every event's interval is a region; regions_of_points is the part of it that its SQL covers."""
+    g = points_g(spark, d)
+    r = g.select("ref", F.col("start").alias("a"), F.col("end").alias("z"), F.col("event_id").alias("region"))
+    return joins.in_ranges(g.select("ref", "start", "event_id"), r, "start", "a", "z", 256, on="ref").select("event_id", "region")
+
+
 @query("SELECT p.p_partkey AS row_idx, CASE WHEN n.n_nationkey IS NULL THEN -1 ELSE n.n_nationkey END AS id FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'NONE' ELSE (SELECT min(n_name) FROM nation) END AS name FROM part) AS p LEFT JOIN nation AS n ON n.n_name = p.name")
 def name_lookup(spark, d):
     nation = _table(spark, d, "nation")
