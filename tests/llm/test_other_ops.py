@@ -265,7 +265,7 @@ def test_multi_index_recall(spark, monkeypatch):
 def test_traversal_order_is_by_distance():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(200, 8))
-    index = multi_index.fit_index(x / np.linalg.norm(x, axis=1)[:, None], 200 * 256, 0.9, 0.9, list_size=256)
+    index = multi_index.fit_index(x / np.linalg.norm(x, axis=1)[:, None], 200 * 256, 0.9, list_size=256)
     index.margin = 0.4
     p, q = index.costs(x[:5])
     for a, b in zip(p, q):
