@@ -1,8 +1,8 @@
 """Line deduplication over overlapping windows of three lines.
 
-Windows are hashed where the text is read; first a count by one 64-bit hash leaves the windows
-that may repeat, then those few are compared by 128 bits. Up to there only hashes and places are
-shuffled; the last join brings the texts to their covered lines. The joins are merge joins at every
+Windows are hashed once, where the text is read, and written as hashes and places; a count by one
+64-bit hash leaves the windows that may repeat, then those few are compared by 128 bits. Only texts
+that may have a covered line are shuffled, to meet their spans. The joins are merge joins at every
 size, since what repeats grows with the input and has no bound that would allow to send it out.
 """
 
@@ -13,8 +13,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, quoted, release, sift
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -44,9 +45,10 @@ def covered_lines(keyed: DataFrame, span: int = 3) -> DataFrame:
     The first occurrence is that of the smallest (doc_id, k1, k2, pos), null ids last. Where a
     window overlaps its own first occurrence, only what lies beyond the first is covered.
     """
-    found = windows(keyed, span)
+    found = materialize(windows(keyed, span), "lines-all")
     maybe = materialize(found.groupBy("h1").count().where("count > 1").select("h1"), "lines-repeated")
     some = materialize(found.join(maybe.hint("merge"), "h1"), "lines-windows")
+    release(found, maybe)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "pos")
     first = materialize(some.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "f"), "lines-first")
     same = F.expr("doc_id <=> f.doc_id and k1 = f.k1 and k2 = f.k2")
@@ -82,21 +84,30 @@ def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, kept, text, n_lines, n_removed) as dedup_lines says; kept is a struct of the columns ``keep``, whatever their names."""
+    keyed = _keyed(docs, id_col, text_col)
+    cover = materialize(covered_lines(keyed, span), "lines-covered").withColumnsRenamed({"doc_id": "d", "k1": "j1", "k2": "j2"})
+    kept = F.struct(*(docs[quoted(c)] for c in keep)) if keep else F.lit(True)
+    full = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), kept.alias("kept"))
+    full = full.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(1), "doc_id")})
+    rest, some = sift(full, F.col("k1"), cover, "j1")
+    met = some.join(cover.hint("merge"), F.expr("k1 = j1 and k2 = j2 and doc_id <=> d"), "left").select("doc_id", "kept", "text", "spans")
+    every = met.unionByName(rest.select("doc_id", "kept", "text", F.lit(None).cast(met.schema["spans"].dataType).alias("spans")))
+    numbers = [T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed")]
+    return every.mapInArrow(_rewritten, T.StructType([met.schema["doc_id"], met.schema["kept"], T.StructField("text", T.StringType()), *numbers]))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: (doc_id, *keep, text, n_lines, n_removed).
 
     text lacks the lines that later occurrences of ``span`` consecutive lines cover; if none with
     visible characters is left, it is empty. n_lines and n_removed count lines with visible
     characters. Null texts come back empty. Rows that agree in id and text are one document, and
-    what is removed goes from each. An empty table gives no rows; columns but the named ones and
-    ``keep`` are not read, and those may have any names but text, spans, k1, k2.
+    what is removed goes from each. An empty table gives no rows. Columns but the named ones and
+    ``keep`` are not read; those of ``keep`` may have any names but the four of the result, for
+    which rewritten() has them in a struct.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    cover = materialize(covered_lines(keyed, span), "lines-covered")
-    text, doc = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("bigint")
-    full = docs.select(doc.alias("doc_id"), *keep, text.alias("text")).withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(1), "doc_id")})
-    cover = cover.withColumnsRenamed({"doc_id": "d", "k1": "j1", "k2": "j2"}).hint("merge")
-    met = full.join(cover, F.expr("k1 = j1 and k2 = j2 and doc_id <=> d"), "left")
-    met = met.select("doc_id", *keep, "text", "spans")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema.fields if f.name not in ("text", "spans"))
-    return met.mapInArrow(_rewritten, f"{kinds}, text string, n_lines bigint, n_removed bigint")
+    if taken := {"doc_id", "text", "n_lines", "n_removed"} & {c.lower() for c in keep}:
+        raise ValueError(f"the result has its own {sorted(taken)}")
+    return rewritten(docs, id_col, text_col, span, keep).select("doc_id", *(F.col("kept").getField(c).alias(c) for c in keep), "text", "n_lines", "n_removed")

@@ -1,12 +1,16 @@
-"""SimHash near-duplicates: fingerprints, BK-tree search inside pigeonhole shards, components.
+"""SimHash near-duplicates: fingerprints, BK-tree search inside shards, components.
 
 The distinct fingerprints are dealt to shards by the pigeonhole principle: of five bit blocks at
 least one is equal in two fingerprints that differ in at most four bits. Every shard has a
 BK-tree (children keyed by the integer Hamming distance to the parent) that is searched along the
 edges within the radius only. A tree lies where its shard lies and is not sent to all executors,
 since the trees of all documents have no size bound. A shard of more than ``shard_rows``
-fingerprints is cut into chunks, and pairs of chunks are searched as shards of their own, so no
-task holds an unbounded group.
+fingerprints is dealt again, by masks that share out the bits in which its own fingerprints
+differ; what is still larger then is cut into chunks, and pairs of chunks are searched as shards of
+their own, so no task holds an unbounded group.
+
+Wide fingerprints (near_copies) reach lower similarities: there so many bits may differ that shards
+are dealt by samples of the bits, as many as the wanted recall takes.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, release
+from .common import connected_components, materialize, quoted, release
 
 #: From here on numbers stand for classes whose rows all have a null id (multi_index); never returned.
 NO_ID = 1 << 62
@@ -86,11 +90,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class BKForest:
-    """BK-trees over 64-bit values, one for each group, built and searched level by level."""
+    """BK-trees over bit vectors (one row of 64-bit words each), one for each group, built and searched level by level."""
 
     def __init__(self, values: np.ndarray, groups: np.ndarray):
         """groups: sorted group number of each value; a group's first value is its root."""
-        self.values = values
+        self.values = values = values.reshape(len(values), -1)
+        self.edges = 64 * values.shape[1] + 1
         n = len(values)
         parent, key = np.full(n, -1, np.int64), np.zeros(n, np.int64)
         roots = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if n else np.zeros(0, np.int64)
@@ -99,8 +104,8 @@ class BKForest:
         rest = np.setdiff1d(np.arange(n), roots, assume_unique=True)
         at = at[rest]
         while len(rest):
-            d = np.bitwise_count(values[rest] ^ values[at]).astype(np.int64)
-            slot = at * 65 + d
+            d = distances(values[rest], values[at])
+            slot = at * self.edges + d
             order = np.argsort(slot, kind="stable")
             lead = np.concatenate([[True], slot[order][1:] != slot[order][:-1]])
             heads = rest[order][lead]  # the first value at each edge becomes the child there
@@ -108,21 +113,22 @@ class BKForest:
             below = np.repeat(heads, np.diff(np.append(np.flatnonzero(lead), len(order))))
             rest, at = rest[order][~lead], below[~lead]
         kids = np.flatnonzero(parent >= 0)
-        slot = parent[kids] * 65 + key[kids]
+        slot = parent[kids] * self.edges + key[kids]
         order = np.argsort(slot, kind="stable")
         self.child, self.slot = kids[order], slot[order]
 
     def within(self, queries: np.ndarray, start: np.ndarray, radius: int, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query number, node) pairs within the radius; follows edges d - radius .. d + radius only."""
+        queries = queries.reshape(len(queries), self.values.shape[1])
         stack = [(np.arange(len(queries))[i : i + 65536], start[i : i + 65536]) for i in range(0, len(queries), 65536)]
         while stack:
             q, node = stack.pop()
-            d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
+            d = distances(queries[q], self.values[node])
             hit = d <= radius
             if hit.any():
                 yield q[hit], node[hit]
-            lo = np.searchsorted(self.slot, node * 65 + np.maximum(d - radius, 0), "left")
-            hi = np.searchsorted(self.slot, node * 65 + np.minimum(d + radius, 64), "right")
+            lo = np.searchsorted(self.slot, node * self.edges + np.maximum(d - radius, 0), "left")
+            hi = np.searchsorted(self.slot, node * self.edges + np.minimum(d + radius, self.edges - 1), "right")
             n = hi - lo
             some = n > 0
             q, lo, n = q[some], lo[some], n[some]
@@ -136,6 +142,14 @@ class BKForest:
                 a = b
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of the rows of two arrays of 64-bit words."""
+    out = np.bitwise_count(a[:, 0] ^ b[:, 0]).astype(np.int64)
+    for k in range(1, a.shape[1]):
+        out += np.bitwise_count(a[:, k] ^ b[:, k])
+    return out
+
+
 def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Union of the sets of a[i] and b[i]; parent holds the least member of each set, fully compressed."""
     while True:
@@ -166,9 +180,14 @@ def block_count(n: int, radius: int, shard_target: int = 4096) -> int:
 
 
 def _search(radius: int):
+    """Stars of the linked parts of each (bucket, i, j); batches: bucket, i, j, probe, rep and the fingerprint's words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(t: list[np.ndarray]) -> pa.RecordBatch:
-            fp, rep, probe, group = t[0].view(np.uint64), t[1], t[2], t[3]
+            group = t[2]
+            edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+            more = np.repeat(np.diff(edge) > 1, np.diff(edge))  # what is alone has no links
+            rep, probe, group, fp = (x[more] for x in t)
             parent = np.arange(len(fp))
             in_tree = np.flatnonzero(probe != 1)
             forest = BKForest(fp[in_tree], group[in_tree])
@@ -185,14 +204,14 @@ def _search(radius: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket, i, j = (batch.column(k).to_numpy() for k in range(3))
+            bucket, i, j, probe, rep, *words = (c.to_numpy() for c in batch.columns)
             new = np.concatenate([[(bucket[0], i[0], j[0]) != last], (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
             group = number + np.cumsum(new)
             last, number = (bucket[-1], i[-1], j[-1]), int(group[-1])
-            held.append([batch.column(4).to_numpy(), batch.column(5).to_numpy(), batch.column(3).to_numpy(), group])
+            held.append([rep, probe, group, np.stack(words, 1).view(np.uint64)])
             if sum(len(h[0]) for h in held) >= 32768:
                 t = [np.concatenate(x) for x in zip(*held)]
-                whole = int(np.searchsorted(t[3], number))  # the last group may go on
+                whole = int(np.searchsorted(t[2], number))  # the last group may go on
                 if whole:
                     yield links([x[:whole] for x in t])
                     t = [x[whole:] for x in t]
@@ -203,6 +222,46 @@ def _search(radius: int):
     return run
 
 
+def _sizes(dealt: DataFrame, shard_rows: int, name: str) -> DataFrame:
+    """(bucket, size) of the buckets with more than shard_rows rows."""
+    return materialize(dealt.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > shard_rows), name)
+
+
+def _shard_links(dealt: DataFrame, words: list[str], radius: int, shard_rows: int, hot: DataFrame) -> DataFrame:
+    """Edges (a, b) between the rep of rows of a bucket whose words differ in at most radius bits; hot as _sizes gives it."""
+    chunks = hot.select("bucket", F.ceil(F.col("size") / shard_rows).cast("int").alias("chunks"))
+    cut = dealt.join(chunks, "bucket", "left").withColumn("c", F.expr(f"cast(pmod(xxhash64(1, {', '.join(words)}), coalesce(chunks, 1)) as int)"))
+    # of chunks i < j, chunk i makes the tree (probe 0) and chunk j searches it (1); a chunk alone does both (2)
+    pairs = F.expr(
+        """transform(sequence(0, coalesce(chunks, 1) - 1), k ->
+             struct(least(c, k) as i, greatest(c, k) as j, cast(if(k = c, 2, if(c < k, 0, 1)) as tinyint) as probe))"""
+    )
+    shards = (
+        cut.select("bucket", "rep", *words, F.explode(pairs).alias("p"))
+        .select("bucket", "p.i", "p.j", "p.probe", "rep", *words)
+        .repartition("bucket", "i", "j")
+        .sortWithinPartitions("bucket", "i", "j", *words)
+    )
+    return shards.mapInArrow(_search(radius), "a bigint, b bigint")
+
+
+def _masks(radius: int):
+    """For each (bucket, size, ones of each bit): radius + 1 masks that share out the bits that differ most evenly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ones = np.stack([c.to_numpy() for c in batch.columns[2:]], 1) / batch.column(1).to_numpy()[:, None]
+            order = np.argsort(-np.minimum(ones, 1 - ones), axis=1, kind="stable").astype(np.uint64)
+            masks = np.zeros((len(ones), radius + 1), np.uint64)
+            for place in range(64):  # dealt to and fro, so that every mask gets its share of the most telling bits
+                lap, k = divmod(place, radius + 1)
+                masks[:, k if lap % 2 == 0 else radius - k] |= np.uint64(1) << order[:, place]
+            lists = pa.ListArray.from_arrays(np.arange(0, masks.size + 1, radius + 1).astype(np.int32), pa.array(masks.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["bucket", "masks"])
+
+    return run
+
+
 def fingerprint_links(classes: DataFrame, radius: int = 4, shard_rows: int = 1024) -> DataFrame:
     """Edges (a, b) between the representatives of distinct fingerprints ``classes(fp, rep)``.
 
@@ -216,21 +275,17 @@ def fingerprint_links(classes: DataFrame, radius: int = 4, shard_rows: int = 102
         parts = [F.expr(f"shiftrightunsigned(fp, {a}) & {(1 << (b - a)) - 1}L") for a, b in chosen]
         keys.append(F.struct(F.xxhash64(F.lit(k), *parts).alias("bucket")) if len(chosen) > 1 else F.struct((parts[0] * len(spans) + k).alias("bucket")))
     dealt = classes.select("fp", "rep", F.explode(F.array(*keys)).alias("x")).select("fp", "rep", "x.bucket")
-    sizes = dealt.groupBy("bucket").count()
-    hot = materialize(sizes.where(F.col("count") > shard_rows).select("bucket", F.ceil(F.col("count") / shard_rows).cast("int").alias("chunks")), "simhash-hot")
-    cut = dealt.join(hot, "bucket", "left").withColumn("c", F.expr("cast(pmod(xxhash64(fp, 1), coalesce(chunks, 1)) as int)"))
-    # of chunks i < j, chunk i makes the tree (probe 0) and chunk j searches it (1); a chunk alone does both (2)
-    pairs = F.expr(
-        """transform(sequence(0, coalesce(chunks, 1) - 1), k ->
-             struct(least(c, k) as i, greatest(c, k) as j, cast(if(k = c, 2, if(c < k, 0, 1)) as tinyint) as probe))"""
-    )
-    shards = (
-        cut.select("bucket", "fp", "rep", F.explode(pairs).alias("p"))
-        .select("bucket", "p.i", "p.j", "p.probe", "fp", "rep")
-        .repartition("bucket", "i", "j")
-        .sortWithinPartitions("bucket", "i", "j", "fp")
-    )
-    return shards.mapInArrow(_search(radius), "a bigint, b bigint")
+    hot = _sizes(dealt, shard_rows, "simhash-hot")
+    if hot.isEmpty():
+        return _shard_links(dealt, ["fp"], radius, shard_rows, hot)
+    # two fingerprints of a hot bucket that differ in radius bits at most agree under one of radius + 1 masks
+    members = dealt.join(hot.select("bucket"), "bucket")
+    ones = members.groupBy("bucket").agg(F.count("*").alias("size"), *(F.sum(F.expr(f"shiftrightunsigned(fp, {b}) & 1L")).alias(f"b{b}") for b in range(64)))
+    masks = materialize(ones.mapInArrow(_masks(radius), "bucket bigint, masks array<bigint>"), "simhash-masks")
+    again = members.join(masks, "bucket").select("fp", "rep", "bucket", F.posexplode("masks").alias("k", "mask"))
+    again = again.select("fp", "rep", F.xxhash64("bucket", "k", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
+    first = _shard_links(dealt.join(hot.select("bucket"), "bucket", "left_anti"), ["fp"], radius, shard_rows, hot)
+    return first.unionByName(_shard_links(again, ["fp"], radius, shard_rows, _sizes(again, shard_rows, "simhash-hotter")))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, seed: int = 42, shard_rows: int = 1024) -> DataFrame:
@@ -252,3 +307,93 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of_fp = materialize(of.join(least, "root").select("fp", "component_id"), "simhash-components")
     release(classes, edges, roots, of, least)
     return fps.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+# --- wide fingerprints ------------------------------------------------------------------------
+
+
+def wide_radius(similarity: float, words: int = 4) -> int:
+    """Bits in which fingerprints of two texts may differ that share this part (Jaccard) of their shingles.
+
+    Two sets of equal size with Jaccard similarity s have the cosine 2 s / (1 + s), and a bit differs with
+    probability arccos / pi. The radius is the mean of the differing bits and 1.28 standard deviations:
+    nine of ten pairs of just this similarity lie within.
+    """
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return round(64 * words * p + 1.28 * (64 * words * p * (1 - p)) ** 0.5)
+
+
+def sampled_masks(n: int, similarity: float, words: int = 4, recall: float = 0.95, shard_target: int = 64, seed: int = 9) -> np.ndarray:
+    """Masks (table, word) of log2(n / shard_target) random bits each.
+
+    There are as many as it takes for two fingerprints of this similarity to agree under one of them
+    with probability ``recall``; a single mask without bits where n is no more than a shard's target.
+    """
+    bits = max(0, int(np.ceil(np.log2(max(n, 1) / shard_target))))
+    agree = (1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi) ** bits
+    tables = 1 if not bits else int(np.ceil(np.log(1 - recall) / np.log(1 - agree)))
+    rng = np.random.default_rng(seed)
+    out = np.zeros((tables, words), np.uint64)
+    for t in range(tables):
+        for b in rng.choice(64 * words, min(bits, 64 * words), replace=False).tolist():
+            out[t, b // 64] |= np.uint64(1) << np.uint64(b % 64)
+    return out.view(np.int64)
+
+
+def _spread(h: np.ndarray, lane: int) -> np.ndarray:
+    """Another 64-bit hash of each hash (the finaliser of splitmix64)."""
+    if not lane:
+        return h
+    with np.errstate(over="ignore"):
+        z = h + np.uint64(lane * 0x9E3779B97F4A7C15 % 2**64)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def wide_fingerprint(text: bytes | None, width: int = 5, words: int = 4, seed: int = 42) -> tuple[int, list[int]]:
+    """Number of shingles, and the words of the fingerprint; zeros if there are none."""
+    h = np.array(shingle_hashes(text, width, seed) if text else [], np.uint64)
+    return len(h), [int(fold_bits(_spread(h, k), np.array([len(h)]))[0]) for k in range(words)]
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, words: int = 4, seed: int = 42, shard_rows: int = 1024) -> DataFrame:
+    """(doc_id, k1, k2, again) of the rows that are not the first of their group of near copies, and of repeated rows.
+
+    Texts are near copies if their fingerprints of ``words`` 64-bit words over shingles of ``width``
+    words differ in at most wide_radius(similarity) bits; a group is what such links connect. Texts
+    without words (null, empty, blank) are one group. A group's first row is that of the smallest
+    doc_id, null ids last, and among equal ids that of the least k1, k2: xxhash64(doc_id, text) and
+    xxhash64(text, 1, doc_id) with null texts as empty ones. again: the row is the first itself and
+    stands in the table more than once. An empty table gives no rows; no other columns are read.
+    """
+    names = [f"f{k}" for k in range(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(3)
+            got = [wide_fingerprint(texts[k].as_py(), width, words, seed) for k in range(batch.num_rows)]
+            fp = np.array([f for _, f in got], np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([n > 0 for n, _ in got], pa.bool_()), *(pa.array(fp[:, k]) for k in range(words))], ["doc_id", "k1", "k2", "worded", *names])
+
+    text, doc = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")), F.col(quoted(id_col)).cast("bigint")
+    slim = docs.select(doc.alias("doc_id"), F.xxhash64(doc, text).alias("k1"), F.xxhash64(text, F.lit(1), doc).alias("k2"), text.cast("binary").alias("text"))
+    kinds = ", ".join(f"{f} bigint" for f in names)
+    rows = materialize(slim.mapInArrow(run, f"doc_id bigint, k1 bigint, k2 bigint, worded boolean, {kinds}"), "near-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")
+    classes = rows.groupBy("worded", *names).agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "near-classes")
+    masks = sampled_masks(classes.count(), similarity, words)
+    keys = F.array(*(F.xxhash64(F.lit(t), *(F.col(f).bitwiseAND(int(m)) for f, m in zip(names, mask) if m)) for t, mask in enumerate(masks.tolist())))
+    dealt = classes.where("worded").select("rep", *names, F.explode(keys).alias("bucket"))
+    edges = _shard_links(dealt, names, wide_radius(similarity, words), shard_rows, _sizes(dealt, shard_rows, "near-hot"))
+    edges = materialize(edges, "near-links")
+    roots = materialize(connected_components(edges), "near-roots")
+    some = classes.join(roots.hint("merge"), F.col("rep") == F.col("node"), "left").where("n > 1 or root is not null")
+    some = materialize(some.select("worded", *names, "first", F.coalesce("root", "rep").alias("root")), "near-some")
+    firsts = materialize(some.groupBy("root").agg(F.min("first").alias("first")), "near-firsts")
+    some = materialize(some.drop("first").join(firsts.hint("merge"), "root").drop("root"), "near-groups")
+    met = rows.join(some.hint("merge"), ["worded", *names])
+    own = F.expr("doc_id <=> first.doc_id and k1 = first.k1 and k2 = first.k2")
+    found = met.groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("n"), F.min(own).alias("again"))
+    return found.where("not again or n > 1").select("doc_id", "k1", "k2", "again")

@@ -353,7 +353,8 @@ def test_pipeline_stages(spark):
 
 
 def test_pipeline_stages_by_brute_force(spark):
-    from .test_text_ops import brute_contamination, brute_fingerprint, brute_lines, components
+    from .test_near_copies import near_texts
+    from .test_text_ops import brute_contamination, brute_lines, components
 
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     rows += [(i + 10_000, t) for i, t in awkward(13) if i is not None and i >= 100]
@@ -362,7 +363,7 @@ def test_pipeline_stages_by_brute_force(spark):
     assert got == {d: t for d, t, n, gone in brute_lines(rows) if n == 0 or gone < n}
     rows = [(i, t) for i, t in got.items()]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
-    root = components([brute_fingerprint(t) for _, t in rows], lambda a, b: (a ^ b).bit_count() <= 4)
+    root = components([t or "" for _, t in rows], near_texts([t or "" for _, t in rows]))
     least = {}
     for (i, _), r in zip(rows, root):
         least[r] = min(i, least.get(r, i))
@@ -373,25 +374,27 @@ def test_pipeline_stages_by_brute_force(spark):
 
 
 def test_one_row_of_each_group_stays_when_ids_repeat(spark):
-    from .test_text_ops import brute_fingerprint, components
+    from .test_near_copies import near_texts
+    from .test_text_ops import components
 
     rows = awkward(15) + [(3, "another text with the id of three " * 3), (3, None)]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, SMALL).collect()]
-    root = components([brute_fingerprint(t) for _, t in rows], lambda a, b: (a ^ b).bit_count() <= 4)
+    root = components([t or "" for _, t in rows], near_texts([t or "" for _, t in rows]))
     group = {row: r for row, r in zip(rows, root)}
     assert sorted(group[k] for k in kept) == sorted(set(root))
 
 
 def test_every_group_keeps_one_row_when_one_id_is_null(spark):
-    from .test_text_ops import brute_fingerprint, components
+    from .test_near_copies import near_texts
+    from .test_text_ops import components
 
     rng = random.Random(16)
     texts = [words(rng, 40) for _ in range(400)]
     rows = [(2 * k + copy, t) for k, t in enumerate(texts) for copy in (0, 1)] + [(None, "one row without an id")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     kept = Counter(r["text"] for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, SMALL).collect())
-    group = dict(zip([t for _, t in rows], components([brute_fingerprint(t) for _, t in rows], lambda a, b: (a ^ b).bit_count() <= 4)))
+    group = dict(zip([t for _, t in rows], components([t for _, t in rows], near_texts([t for _, t in rows]))))
     assert sorted(group[t] for t in kept.elements()) == sorted(set(group.values()))
 
 
@@ -410,3 +413,36 @@ def test_pipeline_stages_on_awkward_tables(spark):
             docs = materialize(stage(spark, docs, SMALL), "test")
             assert k == 4 or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert bool(rows) == bool(docs.count())
+
+
+#: Names that the stages use, or used, themselves.
+CLASHING = "k1 k2 spans n_lines n_removed _key key score h text_ kept row again hit d j1 nth items n_words log_chars _row".split()
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_pipeline_stages_leave_clashing_columns_alone(spark, k):
+    rows = awkward(18) + [(3, "the id of three again " * 4)]
+    plain = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    stage = corpus_pipeline.STAGES[k][1]
+    docs = [(i, t, "en", "s", len(t or "")) for i, t in rows]
+    bare = stage(spark, spark.createDataFrame(docs, plain), SMALL).collect()
+    more = [(*d, *(f"{c}-{n}" for c in CLASHING)) for n, d in enumerate(docs)]
+    out = stage(spark, spark.createDataFrame(more, ", ".join([plain, *(f"`{c}` string" for c in CLASHING)])), SMALL)
+    assert out.columns == [*"doc_id text lang source n_chars".split(), *CLASHING]
+    got = out.collect()
+    assert Counter(tuple(r)[:5] for r in got) == Counter(tuple(r) for r in bare)
+    source = {tuple(m[5:]): m for m in more}
+    assert all(tuple(r)[5:] in source and source[tuple(r)[5:]][0] == r["doc_id"] for r in got)
+    assert len({tuple(r)[5:] for r in got}) == len(got)
+
+
+def test_a_row_without_id_changes_no_survivor(spark):
+    rng = random.Random(19)
+    texts = [words(rng, 30) for _ in range(12)]
+    rows = [(10 * g + c, t) for g, t in enumerate(texts) for c in range(3)]
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    kept = []
+    for extra in ([], [(None, "a text unlike all others")]):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows + extra], columns)
+        kept.append({r["doc_id"] for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, SMALL).collect()})
+    assert kept[0] == {10 * g for g in range(12)} and kept[1] == kept[0] | {None}
