@@ -94,7 +94,7 @@ class BKForest:
 
     def __init__(self, values: np.ndarray, groups: np.ndarray):
         """groups: sorted group number of each value; a group's first value is its root."""
-        self.values = values = values.reshape(len(values), -1)
+        self.values = values = values if values.ndim == 2 else values[:, None]
         self.edges = 64 * values.shape[1] + 1
         n = len(values)
         parent, key = np.full(n, -1, np.int64), np.zeros(n, np.int64)
@@ -119,7 +119,7 @@ class BKForest:
 
     def within(self, queries: np.ndarray, start: np.ndarray, radius: int, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query number, node) pairs within the radius; follows edges d - radius .. d + radius only."""
-        queries = queries.reshape(len(queries), self.values.shape[1])
+        queries = queries if queries.ndim == 2 else queries[:, None]
         stack = [(np.arange(len(queries))[i : i + 65536], start[i : i + 65536]) for i in range(0, len(queries), 65536)]
         while stack:
             q, node = stack.pop()
