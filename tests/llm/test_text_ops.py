@@ -236,31 +236,53 @@ def test_decontamination(spark):
     items = [(1, words(rng, 25)), (2, words(rng, 4)), (3, None), (4, ""), (5, docs[0][1] or "x"), (6, "one"), (6, words(rng, 12)), (None, words(rng, 11)), (7, "One!  two-three")]
     docs += [(300, "Pre, " + items[0][1][:200].upper() + " post"), (301, items[0][1] + " " + items[0][1]), (302, items[1][1] + items[7][1]), (303, "z " + items[7][1]), (304, "a one. Two three b")]
     bench = spark.createDataFrame(items, "item_id bigint, text string").selectExpr("*", "1 as spans")
-    for block in (32 << 20, 1):
-        source = documents(spark, [x for x in docs if block > 1 or x[0] is not None])
-        found = decontam.find_contamination(source if block > 1 else source.dropDuplicates(["doc_id"]), bench, block_bytes=block)
+    expected = Counter(brute_contamination(docs, items))
+    for options in ({}, {"block_phrases": 1}, {"block_phrases": 7, "block_terms": 5}, {"block_tokens": 10}):
+        found = decontam.find_contamination(documents(spark, docs), bench, **options)
         got = Counter((r["doc_id"], r["n_words"], sum(s["to"] - s["from"] for s in r["spans"]), tuple(r["items"]), bool(r["spans"])) for r in found.collect())
-        expected = Counter(brute_contamination([x for x in docs if block > 1 or x[0] is not None], items))
-        assert got == (expected if block > 1 else Counter(dict.fromkeys(expected, 1)))
+        assert got == expected
+    assert decontam.find_contamination(documents(spark, []), bench, block_phrases=9).count() == 0
     assert decontam.find_contamination(documents(spark, []), bench).count() == 0
     empty = decontam.find_contamination(documents(spark, docs), bench.limit(0)).collect()
     assert len(empty) == len(docs) and not any(r["spans"] for r in empty)
 
 
+def items_of(spark, texts):
+    return next(decontam.read_items(spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string"), "item_id", "text", 1000, 10**6))
+
+
 def test_small_shards_give_the_same(spark):
     rng = random.Random(8)
     docs = [(i, words(rng, 30)) for i in range(40)]
-    items = [(1, docs[3][1]), (2, " ".join(docs[5][1].split()[5:12]))]
-    phrases = decontam.phrases_of([(i, t.encode()) for i, t in items], 10)
-    results = [sorted(map(repr, decontam.search_phrases(decontam.build_index(documents(spark, docs), phrases.vocabulary, shard_words=n), phrases).collect())) for n in (1, 100, 10**6)]
-    assert results[0] == results[1] == results[2]
+    items = items_of(spark, [docs[3][1], " ".join(docs[5][1].split()[5:12])])
+    results = []
+    for n in (1, 100, 10**6):
+        index = decontam.build_index(documents(spark, docs), items.vocabulary, shard_words=n).persist()
+        phrases = decontam.phrases_of(items, 10, decontam.term_counts(index, len(items.vocabulary)))
+        results.append(sorted(map(repr, decontam.search_phrases(index, phrases).collect())))
+        index.unpersist()
+    assert results[0] == results[1] == results[2] and "to=30" in "".join(results[0])
+
+
+def test_any_order_of_terms_finds_the_same(spark):
+    """Whatever term counts as the rarest, the intersection of the offset-adjusted lists is the same."""
+    rng = random.Random(9)
+    letters = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+    docs, texts = [(i, letters(400)) for i in range(6)], [letters(40), "a a a", "d", letters(5)]
+    items = items_of(spark, texts)
+    index = decontam.build_index(documents(spark, docs), items.vocabulary, shard_words=900).persist()
+    expected = {r[0]: r[2:4] for r in brute_contamination(docs, list(enumerate(texts)), window=4)}
+    for counts in (decontam.term_counts(index, 4), np.array([1, 2, 3, 4]), np.array([9, 9, 1, 0])):
+        found = decontam.search_phrases(index, decontam.phrases_of(items, 4, counts)).collect()
+        assert {r["doc_id"]: (sum(s["to"] - s["from"] for s in r["spans"]), tuple(r["items"])) for r in found} == expected
+    index.unpersist()
 
 
 def test_proximity(spark):
     docs = [(1, "alpha x x beta"), (2, "beta x x x x alpha"), (3, "alpha"), (4, "x beta alpha gamma")]
-    phrases = decontam.phrases_of([(1, b"alpha beta")], 10)
-    index = decontam.build_index(documents(spark, docs), phrases.vocabulary)
-    got = decontam.search_proximity(index, phrases.vocabulary, [b"alpha", b"beta"], 3)
+    vocabulary = items_of(spark, ["alpha beta"]).vocabulary
+    index = decontam.build_index(documents(spark, docs), vocabulary)
+    got = decontam.search_proximity(index, vocabulary, [b"alpha", b"beta"], 3)
     assert {r["doc_id"] for r in got.collect()} == {1, 4}
 
 
@@ -334,6 +356,38 @@ def test_hilbert_walk_is_continuous(spark, dims, bits):
     assert all(sum(abs(a[i + 1] - b[i + 1]) for i in range(dims)) == 1 for a, b in zip(got, got[1:]))
 
 
+def test_values_with_a_common_prefix_have_cells_of_their_own(spark):
+    from pyspark.sql import functions as F
+
+    sources = [f"https://{c}.example.org/" for c in "abcdefg"]
+    rows = [(i, sources[min(i % 12, 6)], float(1 << i % 40)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, size double")
+    for d in ("source", "size"):
+        got = sharding.hilbert_shards(df, [d], carry={"x": F.col(d)}).collect()
+        place = {r["x"]: r["hilbert"] for r in got}
+        assert len(set(place.values())) == len(place) and sorted(place, key=place.get) == sorted(place)
+        assert len(place) == (7 if d == "source" else 40) and max(place.values()) > 100  # spread over all cells
+
+
+def test_cells_of_very_many_strings_follow_their_ranks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "DISTINCT", 50)
+    df = spark.range(3000).selectExpr("id as doc_id", "concat('https://example.org/', lpad(id, 6, '0')) as url")
+    cuts = sharding._string_cuts(df, "url", 16)
+    sizes = np.diff([0, *(int(c[-6:]) for c in cuts), 3000])
+    assert len(cuts) == 15 and cuts == sorted(cuts) and sizes.max() < 3 * 3000 / 16
+
+
+def test_shards_prune_every_dimension(spark):
+    """A filter on any one dimension meets few of the shards."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(4096).selectExpr("id as doc_id", "pmod(xxhash64(id, 1), 1000) as a", "pmod(xxhash64(id, 2), 1000) as b", "concat('s', pmod(xxhash64(id, 3), 9)) as c")
+    placed = sharding.hilbert_shards(df, ["a", "b", "c"], shards=64, carry={x: F.col(x) for x in "abc"})
+    ranges = placed.groupBy("shard").agg(*(f(x).alias(f"{x}{k}") for x in "abc" for k, f in enumerate((F.min, F.max)))).collect()
+    met = {x: sum(r[f"{x}0"] <= v <= r[f"{x}1"] for r in ranges) for x, v in (("a", 500), ("b", 20), ("c", "s4"))}
+    assert max(met.values()) <= 32 and sum(met.values()) <= 72
+
+
 def test_shards_written_in_order(spark, tmp_path):
     docs = documents(spark, [(i, "x" * i) for i in range(64)])
     placed = sharding.hilbert_shards(docs, ["n_chars", "doc_id"], shards=4)
