@@ -59,7 +59,7 @@ def digest32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _plain(whole: bytes, at: int) -> Record:
+def _plain(whole: bytes | bytearray, at: int) -> Record:
     """The record whose version line is at ``at``; raises Damaged if any check fails."""
     headers: dict[str, str] = {}
     last = ""
@@ -88,7 +88,7 @@ def _plain(whole: bytes, at: int) -> Record:
         raise Damaged("cut off")
     if whole[end : end + 4] != b"\r\n\r\n":
         raise Damaged("no end mark after the block")
-    record = Record(at, end + 4, headers, whole[begin:end])
+    record = Record(at, end + 4, headers, bytes(whole[begin:end]))
     claimed = headers.get("warc-block-digest", "")
     if claimed.startswith("sha1:") and claimed[5:] != digest32(record.block):
         raise Damaged("block digest differs")
@@ -98,46 +98,81 @@ def _plain(whole: bytes, at: int) -> Record:
     return record
 
 
-def _member(whole: bytes, at: int, most: int) -> list[Record]:
-    """The records of the gzip member at ``at``, with the member's place."""
-    unzip, pos, parts, view = zlib.decompressobj(31), at, [], memoryview(whole)
-    left = most
-    while not unzip.eof and pos < len(whole) and left > 0:  # in steps, for what is not used is copied
+def _unzipped(whole: bytes, at: int, step: int = 1 << 20) -> Iterator[tuple[bytes, int]]:
+    """The content of the gzip member at ``at`` in pieces, each with the place up to which the file is read; then the member's end."""
+    unzip, pos, view, rest = zlib.decompressobj(31), at, memoryview(whole), b""
+    while not unzip.eof:
+        if not rest:
+            if pos >= len(whole):
+                raise Damaged("gzip member cut off")
+            rest, pos = view[pos : pos + 65536], min(pos + 65536, len(whole))  # in steps, for what is not used is copied
         try:
-            parts.append(unzip.decompress(view[pos : pos + 65536], left))
-            while unzip.unconsumed_tail and left > len(parts[-1]):
-                left -= len(parts[-1])
-                parts.append(unzip.decompress(unzip.unconsumed_tail, left))
+            piece = unzip.decompress(rest, step)
         except zlib.error as e:
             raise Damaged(f"gzip: {e}") from None
-        left -= len(parts[-1])
-        pos += 65536
-    if not unzip.eof:
-        raise Damaged("gzip member cut off" if left > 0 else "gzip member too large")
-    data = b"".join(parts)
-    end, out, pos = min(pos, len(whole)) - len(unzip.unused_data), [], 0
-    while pos < len(data):
-        if not data.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), pos):
-            raise Damaged("gzip member without version line")
-        r = _plain(data, pos)
-        pos = r.end
-        out.append(Record(at, end, r.headers, r.block))
-    if not out:
+        rest = unzip.unconsumed_tail
+        yield piece, pos - len(unzip.unused_data)
+
+
+def _member(whole: bytes, at: int) -> Iterator[Record]:
+    """The records of the gzip member at ``at``, with the member's place, once all of it has passed its checks.
+
+    The member is unzipped twice, to check it and to give out its records, so that no more than a
+    record is held of it, however large it is.
+    """
+    end = at
+    count, place = 0, [at]
+    for _ in _records(whole, at, place):
+        count += 1
+    if not count:
         raise Damaged("empty gzip member")
-    return out
+    for record in _records(whole, at, [at]):
+        record.start, record.end = at, place[0]
+        yield record
+
+
+def _records(whole: bytes, at: int, place: list[int]) -> Iterator[Record]:
+    """Records of the gzip member at ``at``; raises Damaged where a check fails. place[0] is up to where the file is read."""
+    held, pos, wanted = bytearray(), 0, 1
+    pieces, done = _unzipped(whole, at), False
+    while True:
+        while not done and len(held) - pos < wanted:
+            piece, place[0] = next(pieces, (None, place[0]))
+            done = piece is None
+            held += piece or b""
+        if done and pos == len(held):
+            return
+        record = None
+        if done or len(held) - pos >= 10:
+            if not held.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), pos):
+                raise Damaged("gzip member without version line")
+            try:
+                record = _plain(held, pos)
+            except Damaged:
+                if done:
+                    raise
+        if record is None:  # perhaps only not read to its end: on with twice as much
+            wanted = max(2 * (len(held) - pos), 65536)
+            continue
+        pos, wanted = record.end, 1
+        if pos > 1 << 20:
+            del held[:pos]
+            pos = 0
+        yield record
 
 
-def salvage(whole: bytes, most_unzipped: int = 1 << 30) -> Iterator[Record | Gap]:
+def salvage(whole: bytes) -> Iterator[Record | Gap]:
     """Records and quarantined gaps of a plain or gzip archive, in order; together they cover it all."""
     at, bad, why = 0, None, ""
     while at < len(whole):
         try:
             if whole.startswith(b"\x1f\x8b\x08", at):
-                found = _member(whole, at, most_unzipped)
+                found: Iterator[Record] = _member(whole, at)
             elif whole.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), at):
-                found = [_plain(whole, at)]
+                found = iter([_plain(whole, at)])
             else:
                 raise Damaged("neither version line nor gzip member")
+            first = next(found)
         except Damaged as e:
             if bad is None:
                 bad, why = at, str(e)
@@ -147,8 +182,9 @@ def salvage(whole: bytes, most_unzipped: int = 1 << 30) -> Iterator[Record | Gap
         if bad is not None:
             yield Gap(bad, at, why)
             bad = None
+        at = first.end
+        yield first
         yield from found
-        at = found[-1].end
     if bad is not None:
         yield Gap(bad, at, why)
 
@@ -162,17 +198,20 @@ def base32_sha1(hex_digest: Column) -> Column:
     return F.concat(*parts)
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> None:
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", file_bytes: int = 256 << 20) -> None:
     """One WARC 1.1 record per row in plain archives under ``path``.
 
     Of the rows with equal payloads of at least ``least_bytes`` bytes, those of the smallest id
     become response records and the others revisits; smaller payloads are all responses. Null
     payloads are empty, null urls an empty target. Rows that repeat the smallest id are all
-    responses; a null id comes last and is written as an empty name.
+    responses; a null id comes last and is written as an empty name. An empty table gives an empty
+    archive; other columns are not read. A file holds as many records as come to ``file_bytes`` by
+    the mean payload, so that it is a value and a task of bounded size for read_warc.
     """
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), body.alias("body"))
     rows = rows.withColumn("sha1", F.sha1(F.col("body").cast("binary"))).withColumn("bytes", F.octet_length("body"))
+    mean = rows.agg(F.avg("bytes")).first()[0] or 0
     owners = rows.where(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     shared = materialize(owners.where("n > 1").select(F.col("sha1").alias("of"), "first"), "warc-shared")
     met = rows.join(shared, (F.col("sha1") == F.col("of")) & (F.col("bytes") >= least_bytes), "left")
@@ -191,23 +230,24 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str =
         F.lit(f"{end}Content-Type: application/http; msgtype=response{end}Content-Length: "), F.octet_length("block").cast("string"),
         F.lit(end + end), F.col("block"), F.lit(end),
     )
-    met.select(record.alias("value")).write.option("lineSep", end).option("compression", "none").text(path)
+    most = max(1, int(file_bytes / (mean + 600)))
+    met.select(record.alias("value")).write.option("lineSep", end).option("compression", "none").option("maxRecordsPerFile", most).text(path)
 
 
-def read_warc(spark: SparkSession, path: str, most_unzipped: int = 1 << 30) -> DataFrame:
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records and gaps of all archives under ``path``, whole and damaged alike.
 
     Columns: file, start, end, gap (why bytes were quarantined; null for records), record_id,
     record_type, url, refers_to, payload (null for gaps), payload_bytes and payload_digest (of the
-    full payload, which for revisits is told by their headers). An archive is read by one task:
-    keep files to some hundred MB.
+    full payload, which for revisits is told by their headers). An archive is read by one task, as
+    one value of at most 2 GB: keep files to some hundred MB, as write_warc does.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 file, rows, held = batch.column(0)[k].as_py(), [], 0
-                for r in salvage(batch.column(1)[k].as_py(), most_unzipped):
+                for r in salvage(batch.column(1)[k].as_py()):
                     rows.append(_row(file, r))
                     held += r.end - r.start
                     if held > 8 << 20:

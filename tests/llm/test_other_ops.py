@@ -113,10 +113,28 @@ def test_salvage_of_gzip_members(archive):
     assert sum(isinstance(x, warc.Record) for x in found) == 39 and sum(isinstance(x, warc.Gap) for x in found) == 2
     big = gzip.compress(archive * 30)
     assert sum(isinstance(x, warc.Record) for x in warc.salvage(big)) == 1200
-    assert [type(x) for x in warc.salvage(big, most_unzipped=1000)] == [warc.Gap]
+    assert [type(x) for x in warc.salvage(big[:-1])] == [warc.Gap]
+    assert [(type(x), x.start, x.end) for x in warc.salvage(big + b"junk")][-2:] == [(warc.Record, 0, len(big)), (warc.Gap, len(big), len(big) + 4)]
     assert list(warc.salvage(b"")) == []
 
 
+def test_a_large_member_is_not_held(archive):
+    import tracemalloc
+
+    one = gzip.compress(archive * 400)
+    tracemalloc.start()
+    assert sum(1 for _ in warc.salvage(one)) == 16_000
+    assert tracemalloc.get_traced_memory()[1] < len(archive) * 400 / 5 > 4 << 20
+    tracemalloc.stop()
+
+
+def test_files_are_cut(spark, tmp_path):
+    rows = [(i, "u", f"{i:05d}" * 100) for i in range(100)]
+    warc.write_warc(pages(spark, rows).coalesce(1), f"file://{tmp_path}/w", file_bytes=20_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("part*")]
+    assert len(sizes) > 4 and max(sizes) < 40_000 and warc.read_warc(spark, f"file://{tmp_path}/w").where("gap is null").count() == 100
+
+
 def test_gaps_are_logged(spark, archive, tmp_path):
     (tmp_path / "a.warc").write_bytes(archive[:1000] + b"\0" * 30 + archive[1030:])
     (tmp_path / "b.warc").write_bytes(b"nothing at all")
