@@ -1,90 +1,13 @@
-"""Shared pieces: scratch tables in the cluster's shared folder, key filters and connected components."""
+"""Shared pieces: scratch tables (from matloom.scratch), key filters and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_own_scratch: list[str] = []
-#: scratch tables of this process that are not deleted yet: (JVM, Hadoop's settings) by path
-_written: dict[str, tuple] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only where the setting is absent and the master is a plain local one (as in tests) a
-    temporary folder of this process serves instead; on any other master its absence is an error.
-    """
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not conf.get("spark.master", "local").startswith("local") or "cluster" in conf.get("spark.master", ""):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _own_scratch:
-        _own_scratch.append(tempfile.mkdtemp(prefix="matloom-"))
-        atexit.register(shutil.rmtree, _own_scratch[0], True)
-    return "file://" + _own_scratch[0]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/matloom-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    _written[path] = (spark._jvm, spark._jsc.hadoopConfiguration())
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._matloom_path = path
-    return out
-
-
-def _delete(path: str) -> None:
-    jvm, settings = _written.pop(path)
-    jvm_path = jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(settings).delete(jvm_path, True)
-
-
-def release(*frames: DataFrame) -> None:
-    """Delete scratch tables that no later step reads."""
-    for df in frames:
-        if getattr(df, "_matloom_path", None) in _written:
-            _delete(df._matloom_path)
-
-
-def release_all() -> None:
-    """Delete the scratch tables that results not yet written may still read; done at the end of the process, too."""
-    for path in list(_written):
-        with contextlib.suppress(Exception):
-            _delete(path)
-
-
-atexit.register(release_all)
-
+from ..scratch import materialize, release, release_all, scratch_path, scratch_root, scratch_scope
 
-@contextlib.contextmanager
-def scratch_scope(*keep: DataFrame) -> Iterator[list[DataFrame]]:
-    """Deletes at its end the scratch tables written within it, but for those of the frames in the list that it gives."""
-    before, kept = set(_written), list(keep)
-    try:
-        yield kept
-    finally:
-        spared = before | {getattr(df, "_matloom_path", None) for df in kept}
-        for path in [p for p in _written if p not in spared]:
-            _delete(path)
+__all__ = ["connected_components", "fresh", "materialize", "quoted", "release", "release_all", "scratch_path", "scratch_root", "scratch_scope", "sift"]
 
 
 def fresh(columns: list[str], name: str) -> str:
@@ -100,34 +23,26 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def sift(df: DataFrame, key: Column, keys: DataFrame, name: str, most_bits: int = 1 << 28) -> tuple[DataFrame, DataFrame]:
+def sift(df: DataFrame, key: Column, keys: DataFrame, name: str, most_bits: int = 1 << 26) -> tuple[DataFrame, DataFrame]:
     """The rows of df whose BIGINT key is surely not in column ``name`` of keys, and all others.
 
     Only the second part needs a join with the keys, so that the rest is not shuffled. The test is a
-    Bloom filter with two bits of 16 for each key, from uniform hashes; it never has more than
-    ``most_bits`` (32 MB), and beyond that it only lets more rows through to the join.
+    bit map of uniform hashes with 32 bits a key, sent out as words of 64 bits. It never has more
+    than ``most_bits`` (a million words); beyond that it only lets more rows through to the join.
     """
     n = keys.count()
     if not n:
         return df, df.where(F.lit(False))
-    bits = 1 << max(16, min(most_bits.bit_length() - 1, (16 * n - 1).bit_length()))
+    bits = 1 << max(16, min(most_bits.bit_length() - 1, (32 * n - 1).bit_length()))
+    at, word = fresh(df.columns, "at"), fresh(df.columns, "word")
+    place = lambda k: k.bitwiseAND(bits - 1)
+    bit = lambda k: k.bitwiseAND(63).cast("int")
     k = F.col(name)
-    places = keys.select(F.explode(F.array(k.bitwiseAND(bits - 1), F.shiftrightunsigned(k, 32).bitwiseAND(bits - 1))).alias("p"))
-    words = places.groupBy(F.shiftright("p", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("word")).toArrow()
-    table = np.zeros(bits // 64, np.int64)
-    table[words.column("at").to_numpy()] = words.column("word").to_numpy()
-    sent = df.sparkSession.sparkContext.broadcast(table.view(np.uint8))
-
-    @F.pandas_udf("boolean")
-    def met(x: pd.Series) -> pd.Series:
-        v, filter_ = x.to_numpy().view(np.uint64), sent.value
-        out = np.ones(len(v), bool)
-        for place in (v, v >> np.uint64(32)):
-            at = (place & np.uint64(bits - 1)).astype(np.int64)
-            out &= (filter_[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-        return pd.Series(out)
-
-    return df.where(~met(key)), df.where(met(key))
+    words = keys.groupBy(F.shiftright(place(k), 6).alias(at)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(k))).alias(word))
+    words = F.broadcast(materialize(words, "key-words"))
+    met = df.join(words, F.shiftright(place(key), 6) == F.col(at), "left")
+    hit = F.coalesce(F.call_function("shiftrightunsigned", F.col(word), bit(key)).bitwiseAND(1) == 1, F.lit(False))
+    return met.where(~hit).drop(at, word), met.where(hit).drop(at, word)
 
 
 def _minima(pairs: DataFrame) -> DataFrame:

@@ -84,8 +84,11 @@ def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, kept, text, n_lines, n_removed) as dedup_lines says; kept is a struct of the columns ``keep``, whatever their names."""
+def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows that surely lose no line (doc_id, kept, text), and the others (.., n_lines, n_removed) as dedup_lines says.
+
+    kept is a struct of the columns ``keep``, whatever their names.
+    """
     keyed = _keyed(docs, id_col, text_col)
     cover = materialize(covered_lines(keyed, span), "lines-covered").withColumnsRenamed({"doc_id": "d", "k1": "j1", "k2": "j2"})
     kept = F.struct(*(docs[quoted(c)] for c in keep)) if keep else F.lit(True)
@@ -93,9 +96,9 @@ def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     full = full.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(1), "doc_id")})
     rest, some = sift(full, F.col("k1"), cover, "j1")
     met = some.join(cover.hint("merge"), F.expr("k1 = j1 and k2 = j2 and doc_id <=> d"), "left").select("doc_id", "kept", "text", "spans")
-    every = met.unionByName(rest.select("doc_id", "kept", "text", F.lit(None).cast(met.schema["spans"].dataType).alias("spans")))
     numbers = [T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed")]
-    return every.mapInArrow(_rewritten, T.StructType([met.schema["doc_id"], met.schema["kept"], T.StructField("text", T.StringType()), *numbers]))
+    changed = met.mapInArrow(_rewritten, T.StructType([met.schema["doc_id"], met.schema["kept"], T.StructField("text", T.StringType()), *numbers]))
+    return rest.select("doc_id", "kept", "text"), changed
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -110,4 +113,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if taken := {"doc_id", "text", "n_lines", "n_removed"} & {c.lower() for c in keep}:
         raise ValueError(f"the result has its own {sorted(taken)}")
-    return rewritten(docs, id_col, text_col, span, keep).select("doc_id", *(F.col("kept").getField(c).alias(c) for c in keep), "text", "n_lines", "n_removed")
+    same, changed = rewritten(docs, id_col, text_col, span, keep)
+    n_lines = F.expr(r"cast(size(filter(split(text, '\n', -1), x -> trim(BOTH ' \t\r' FROM x) <> '')) as bigint)")
+    every = same.withColumns({"n_lines": n_lines, "n_removed": F.lit(0).cast("bigint")}).unionByName(changed)
+    return every.select("doc_id", *(F.col("kept").getField(c).alias(c) for c in keep), "text", "n_lines", "n_removed")
