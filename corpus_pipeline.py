@@ -46,12 +46,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     n_chars follows the text where lines went, null texts come back empty. A document that had no
     visible line before stays as it is.
     """
-    found = rewritten(docs, keep=tuple(docs.columns)).where("n_lines = 0 or n_removed < n_lines")
+    same, changed = rewritten(docs, keep=tuple(docs.columns))
+    every = same.withColumn("n_removed", F.lit(0).cast("bigint")).unionByName(changed.where("n_lines = 0 or n_removed < n_lines").drop("n_lines"))
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kept = F.col("kept").getField("n_chars")
         new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(kept)
-    return found.select(*(new.get(c, F.col("kept").getField(c)).alias(c) for c in docs.columns))
+    return every.select(*(new.get(c, F.col("kept").getField(c)).alias(c) for c in docs.columns))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
