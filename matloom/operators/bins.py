@@ -31,10 +31,17 @@ def total_bins(bins: DataFrame) -> int:
     return bins.agg(F.max("end_bin")).first()[0] or 0
 
 
+def natural_order(ref: Column) -> list[Column]:
+    """natural_key as columns to sort by."""
+    tail = F.regexp_extract(ref, "[0-9]+$", 0)
+    return [F.regexp_replace(ref, "[0-9]+$", ""), F.when(tail == "", F.lit(-1)).otherwise(tail.try_cast("decimal(38,0)")), tail]
+
+
 def common_refs(samples: DataFrame) -> DataFrame:
-    """(ref): names that every sample of (sample, ref) has."""
+    """(ref) in natural order: names that every sample of (sample, ref) has."""
     n = samples.select("sample").distinct().count()
-    return samples.groupBy("ref").agg(F.countDistinct("sample").alias("n")).where(F.col("n") == n).select("ref")
+    found = samples.groupBy("ref").agg(F.countDistinct("sample").alias("n")).where(F.col("n") == n).select("ref")
+    return found.orderBy(*natural_order(F.col("ref")))
 
 
 def located(points: DataFrame, bins: DataFrame, width: int, pos: Column) -> DataFrame:
@@ -49,9 +56,11 @@ def located(points: DataFrame, bins: DataFrame, width: int, pos: Column) -> Data
 def bin_ranges(bins: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(bin, ref, from, to) of bin ids; ids outside all references drop out.
 
-    The map has a row per reference, so the range condition is checked against few rows.
+    References are cut into cells of 2**20 bins, so that ids meet them by an equi-join.
     """
-    met = ids.join(bins, (F.col("bin") >= F.col("start_bin")) & (F.col("bin") < F.col("end_bin")))
+    from .joins import in_ranges
+
+    met = in_ranges(ids, bins, "bin", "start_bin", "end_bin", 1 << 20)
     begin = (F.col("bin") - F.col("start_bin")) * width
     return met.select("bin", "ref", begin.alias("from"), F.least(begin + width, F.col("len")).alias("to"))
 
@@ -120,14 +129,15 @@ def centred_windows(sites: DataFrame, width: int, by: str = "bp") -> DataFrame:
     from .order import with_rank
 
     half, rest, cell = width // 2, width - width // 2 - 1, max(width, 1) * 64
-    if by == "bp":
-        placed = sites.select("ref", "pos", F.col("pos").alias("at"))
+    if by == "bp":  # sites of one position have one window: a hot position is one row of it
+        placed = sites.groupBy("ref", "pos").agg(F.count("*").alias("c")).withColumn("at", F.col("pos"))
     else:
-        placed = with_rank(sites.select("ref", "pos"), F.col("ref"), F.col("pos")).select("ref", "pos", F.col("rank").alias("at"))
+        placed = with_rank(sites.select("ref", "pos"), F.col("ref"), F.col("pos")).select("ref", "pos", F.lit(1).cast("bigint").alias("c"), F.col("rank").alias("at"))
     near = F.sequence(F.floor((F.col("at") - rest) / cell), F.floor((F.col("at") + half) / cell))
     each = placed.select("*", F.explode(near).alias("cell"))
     w = Window.partitionBy("ref", "cell").orderBy("at").rangeBetween(-half, rest)
-    return each.select("ref", "pos", "at", "cell", F.count("*").over(w).alias("n")).where(F.col("cell") == F.floor(F.col("at") / cell)).select("ref", "pos", "n")
+    found = each.select("ref", "pos", "c", "at", "cell", F.sum("c").over(w).alias("n")).where(F.col("cell") == F.floor(F.col("at") / cell))
+    return found.select("ref", "pos", "n", F.explode(F.sequence(F.lit(1), F.col("c")))).select("ref", "pos", "n")
 
 
 def count_methylated(evidence: DataFrame) -> DataFrame:
@@ -157,24 +167,32 @@ def beta_binomial_moments(counts: DataFrame) -> DataFrame:
 
 
 def beta_binomial_mle(counts: DataFrame, key: str, steps: int = 400) -> DataFrame:
-    """(key, mu, m): maximum likelihood per group of sites, NaN where it cannot be found."""
+    """(key, mu, m): maximum likelihood per group of sites, NaN where it cannot be found.
+
+    Sites are first counted by (total, methylated), so that a task holds the different pairs of a
+    group and not its sites.
+    """
     import math
 
     import numpy as np
     import pandas as pd
 
-    lgamma = np.vectorize(math.lgamma, otypes=[float])
+    def lgamma_at(base: np.ndarray, extra: float) -> np.ndarray:
+        """lgamma(base + extra), worked out once for each different base."""
+        some, at = np.unique(base, return_inverse=True)
+        return np.array([math.lgamma(x + extra) for x in some.tolist()])[at]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, k = pdf["total"].to_numpy(float), pdf["methylated"].to_numpy(float)
-        n, k = n[n > 0], k[n > 0]
+        n, k, w = (pdf[c].to_numpy(float) for c in ("total", "methylated", "_w"))
         best = (np.nan, np.nan)
-        if len(n) and 0 < k.sum() < n.sum():
+        if len(n) and 0 < (k * w).sum() < (n * w).sum():
+
             def loss(p):
-                mu, m = 1 / (1 + np.exp(-p[0])), np.exp(np.clip(p[1], -20, 20))
-                a, b = mu * m, (1 - mu) * m
-                return -(lgamma(k + a) - lgamma(a) + lgamma(n - k + b) - lgamma(b) - lgamma(n + m) + lgamma(m)).sum()
-            mu0 = k.sum() / n.sum()
+                mu, m = 1 / (1 + np.exp(-p[0])), float(np.exp(np.clip(p[1], -20, 20)))
+                a, b = float(mu * m), float((1 - mu) * m)
+                return -(w * (lgamma_at(k, a) - math.lgamma(a) + lgamma_at(n - k, b) - math.lgamma(b) - lgamma_at(n, m) + math.lgamma(m))).sum()
+
+            mu0 = (k * w).sum() / (n * w).sum()
             p, size = np.array([np.log(mu0 / (1 - mu0)), 1.0]), np.array([0.5, 1.0])
             at = loss(p)
             for _ in range(steps):  # coordinate search with shrinking steps
@@ -193,5 +211,7 @@ def beta_binomial_mle(counts: DataFrame, key: str, steps: int = 400) -> DataFram
             best = (1 / (1 + np.exp(-p[0])), float(np.exp(p[1])))
         return pd.DataFrame({key: [pdf[key].iloc[0]], "mu": [best[0]], "m": [best[1]]})
 
-    kind = dict(counts.dtypes)[key]
-    return counts.groupBy(key).applyInPandas(fit, f"{key} {kind}, mu double, m double")
+    kind = counts.schema[key].dataType.simpleString()
+    pairs = counts.withColumn("_ok", F.col("total") > 0).groupBy(key, F.when(F.col("_ok"), F.col("total")).alias("total"), F.when(F.col("_ok"), F.col("methylated")).alias("methylated")).agg(F.count("*").alias("_w"))
+    kept = pairs.select(key, F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("methylated", F.lit(0)).alias("methylated"), "_w")
+    return kept.groupBy(key).applyInPandas(fit, f"`{key}` {kind}, mu double, m double")

@@ -22,6 +22,8 @@ from .stats import tree_sum
 
 RANK_TOLERANCE = 1e-7
 COMPONENTS = ("signal_random", "artifact", "signal", "random", "all")
+#: How a component's values are given back: as they were fitted, or with a logarithm undone.
+SCALES = {"log": lambda y, add: y, "raw": lambda y, add: np.exp(y) - add, "raw2": lambda y, add: np.exp2(y) - add}
 
 
 # --- control rows -----------------------------------------------------------------------------
@@ -116,10 +118,34 @@ class FactorModel:
     def to_json(self) -> str:
         return json.dumps({k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in asdict(self).items()})
 
+    def check(self, m: BigMatrix | None = None) -> FactorModel:
+        """The model itself, or an error that names what does not fit together, or does not fit the matrix."""
+        n = len(self.w)
+        grouped = [j for g in self.groups for j in g]
+        faults = [
+            (self.kind not in ("ruvg", "ruvs"), f"unknown kind {self.kind}"),
+            (m is not None and m.n_cols != n, f"the model has {n} columns, the matrix {m.n_cols if m is not None else 0}"),
+            (any(not 0 <= j < n for j in grouped), "a group names a column that is not there"),
+            (len(set(grouped)) < len(grouped), "a column is in two groups"),
+            (self.known.shape[0] != n, "known factors have another length than the columns"),
+            (self.permuted is not None and len(self.permuted) != len(self.eigenvalues), "permuted eigenvalues do not match the eigenvalues"),
+            (not np.isfinite(self.w).all() or not np.isfinite(self.eigenvalues).all(), "factors or eigenvalues are not finite"),
+            (bool((np.diff(self.eigenvalues) > 1e-9 * max(1.0, float(np.abs(self.eigenvalues).max(initial=0)))).any()), "eigenvalues are not in order"),
+            (self.kind == "ruvs" and (self.b is None or self.c is None or self.vectors is None), "a ruvs model lacks its sums"),
+            (self.kind == "ruvs" and self.c is not None and self.c.shape != (n, len(self.replicates)), "the sums do not match the replicate columns"),
+        ]
+        if said := [text for bad, text in faults if bad]:
+            raise ValueError("; ".join(said))
+        return self
+
     @classmethod
     def from_json(cls, text: str) -> FactorModel:
+        """A model as it was written, checked."""
         arrays = ("eigenvalues", "w", "known", "permuted", "vectors", "b", "c")
-        return cls(**{k: np.array(v, float) if k in arrays and v is not None else v for k, v in json.loads(text).items()})
+        found = {k: np.array(v, float) if k in arrays and v is not None else v for k, v in json.loads(text).items()}
+        for name in ("w", "known"):
+            found[name] = found[name].reshape(len(found[name]), -1)
+        return cls(**found).check()
 
 
 def _eigen(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,8 +180,12 @@ def _centred(x: np.ndarray) -> np.ndarray:
     return x - x.mean(1, keepdims=True)
 
 
-def fit_ruvg(m: BigMatrix, controls: DataFrame | None = None, known: np.ndarray | None = None, permutations: int = 0, seed: int = 1, groups: Sequence[Sequence[int]] = ()) -> FactorModel:
-    """W from the Gram matrix of centred control rows; with a permutation null of its eigenvalues."""
+def fit_ruvg(m: BigMatrix, controls: DataFrame | None = None, known: np.ndarray | None = None, permutations: int = 0, seed: int = 1, groups: Sequence[Sequence[int]] = (), adjust: str | None = None) -> FactorModel:
+    """W from the Gram matrix of centred control rows; with a permutation null of its eigenvalues.
+
+    adjust: a row adjustment (rowops.ADJUSTMENTS) that rows go through before they are fitted on.
+    """
+    m = _adjusted(m, adjust)
     n, rounds = m.n_cols, permutations
 
     def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
@@ -179,6 +209,12 @@ def fit_ruvg(m: BigMatrix, controls: DataFrame | None = None, known: np.ndarray
     return FactorModel("ruvg", [list(g) for g in groups], values, vectors, _known(known, n), null)
 
 
+def _adjusted(m: BigMatrix, adjust: str | None) -> BigMatrix:
+    from .rowops import adjust_rows
+
+    return adjust_rows(m, adjust) if adjust else m
+
+
 def _known(known: np.ndarray | None, n: int) -> np.ndarray:
     if known is None:
         return np.zeros((n, 0))
@@ -186,12 +222,13 @@ def _known(known: np.ndarray | None, n: int) -> np.ndarray:
     return k - k.mean(0)
 
 
-def fit_ruvs(m: BigMatrix, groups: Sequence[Sequence[int]], controls: DataFrame | None = None, known: np.ndarray | None = None, permutations: int = 0, seed: int = 1) -> FactorModel:
-    """W from replicate columns less their group mean, regressed on the control rows.
+def fit_ruvs(m: BigMatrix, groups: Sequence[Sequence[int]], controls: DataFrame | None = None, known: np.ndarray | None = None, permutations: int = 0, seed: int = 1, adjust: str | None = None) -> FactorModel:
+    """W from replicate columns less their group mean, regressed on the control rows; adjust as in fit_ruvg.
 
     One pass sums A = S S' over all rows, B = S S' and C = Y S' over control rows, S being the
     replicate differences; B is A when all rows are controls and is not summed then.
     """
+    m = _adjusted(m, adjust)
     n, rounds = m.n_cols, permutations
     sets = [list(g) for g in groups if len(g) > 1]
     cols = [j for g in sets for j in g]
@@ -252,17 +289,28 @@ def split_rows(x: np.ndarray, z: np.ndarray, groups: Sequence[Sequence[int]], sk
 
 
 def component(m: BigMatrix, model: FactorModel, which: str, k: int, n_known: int | None = None, artifact: str = "naive", scale: str = "log", add: float = 1.0, columns: Sequence[int] = (), skip: Sequence[int] = (), adjust: str | None = None, chosen: Sequence[int] | None = None) -> BigMatrix:
-    """One component of every row for a choice of factors; scale "raw" undoes log(x + add)."""
+    """One component of every row for a choice of factors; scale "raw" undoes log(x + add), "raw2" log2(x + add).
+
+    What cannot be read is an error: an unknown component, scale, adjustment or column, or a matrix
+    that the model was not made for.
+    """
     from .rowops import ADJUSTMENTS
 
     if which not in COMPONENTS:
         raise ValueError(f"component is one of {COMPONENTS}")
+    if scale not in SCALES:
+        raise ValueError(f"scale is one of {tuple(SCALES)}")
+    if adjust and adjust not in ADJUSTMENTS:
+        raise ValueError(f"adjustment is one of {tuple(ADJUSTMENTS)}")
+    if any(not 0 <= j < m.n_cols for j in columns):
+        raise ValueError("no such column")
+    model.check(m)
     z, groups = model.projector(k, n_known, artifact, chosen), model.groups
 
     def fn(x: np.ndarray) -> np.ndarray:
         parts = split_rows(x, z, groups, skip)
         y = {"signal_random": parts["signal"] + parts["random"], "artifact": parts["artifact"], "signal": parts["signal"], "random": parts["random"], "all": x}[which]
-        y = np.exp(y) - add if scale == "raw" else y
+        y = SCALES[scale](y, add)
         y = y[:, list(columns)] if columns else y
         return ADJUSTMENTS[adjust](y) if adjust else y
 
@@ -372,19 +420,29 @@ def predict_rows(pairs: DataFrame, train: Sequence[int], test: Sequence[int], ri
     pairs: (row_idx, y, xs) with y the response's cells and xs its predictor rows; columns train fit,
     columns test are predicted; relative is against predicting the training mean.
     """
-    def fit(y, xs):
-        y, x = np.asarray(y, float), np.asarray(xs, float).T
-        mean, centre = y[list(train)].mean(), x[list(train)].mean(0)
-        a = x[list(train)] - centre
-        beta = np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ (y[list(train)] - mean))
-        miss = y[list(test)] - mean - (x[list(test)] - centre) @ beta
-        base = ((y[list(test)] - mean) ** 2).mean()
-        error = float((miss**2).mean())
-        return error, float(error / base) if base else float("nan")
+    train, test = list(train), list(test)
+
+    def fit(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All rows of a batch that have the same number of predictors; x: (row, predictor, column)."""
+        mean, centre = y[:, train].mean(1, keepdims=True), x[:, :, train].mean(2, keepdims=True)
+        a = x[:, :, train] - centre
+        beta = np.linalg.solve(a @ a.transpose(0, 2, 1) + ridge * np.eye(x.shape[1]), (a @ (y[:, train] - mean)[:, :, None]))
+        guess = ((x[:, :, test] - centre) * beta).sum(1)
+        error, base = ((y[:, test] - mean - guess) ** 2).mean(1), ((y[:, test] - mean) ** 2).mean(1)
+        return error, np.divide(error, base, out=np.full(len(error), np.nan), where=base > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [fit(y, xs) for y, xs in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())], ["row_idx", "error", "relative"])
+            if not b.num_rows:
+                continue
+            y, lists = block(b.column(1)), b.column(2)
+            many = np.diff(lists.offsets.to_numpy())
+            starts = np.cumsum(many) - many
+            cells = block(lists.flatten()) if many.sum() else np.zeros((0, y.shape[1]))
+            error, relative = np.full(len(y), np.nan), np.full(len(y), np.nan)
+            for p in np.unique(many[many > 0]).tolist():
+                rows = np.flatnonzero(many == p)
+                error[rows], relative[rows] = fit(y[rows], cells[starts[rows][:, None] + np.arange(p)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(error), pa.array(relative)], ["row_idx", "error", "relative"])
 
     return pairs.select("row_idx", "y", "xs").mapInArrow(run, "row_idx bigint, error double, relative double")

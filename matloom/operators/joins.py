@@ -37,6 +37,11 @@ def in_ranges(points: DataFrame, ranges: DataFrame, point: str, start: str, stop
 
 
 def associate(responses: DataFrame, predictors: DataFrame, key: str, least: int = 1) -> DataFrame:
-    """(key, rows): the predictor rows of each response, ordered, where there are at least ``least``."""
-    met = responses.select(key).distinct().join(predictors.select(key, "row_idx"), key)
-    return met.groupBy(key).agg(F.sort_array(F.collect_list("row_idx")).alias("rows")).where(F.size("rows") >= least)
+    """(key, row_idx, n): the predictor rows of each response that has at least ``least`` of them, n in all.
+
+    One row per pair, so that a key with very many predictors is no single value; n comes from a
+    count per key, joined like the keys themselves.
+    """
+    rows = predictors.select(key, "row_idx")
+    enough = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least).join(responses.select(key).distinct(), key)
+    return rows.join(enough, key).select(key, "row_idx", "n")

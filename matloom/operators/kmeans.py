@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.curves import f_of_k
 from ..matrix import BigMatrix, block
+from ..scratch import materialize, release
 from .rowops import unit_length_or_zero
 from .stats import tree_sum
 
@@ -24,7 +25,7 @@ from .stats import tree_sum
 class KMeansConfig:
     k: int
     distance: str = "euclidean"
-    seeding: str = "kmeans++"  # or "uniform", or "given" with seeds
+    seeding: str = "kmeans++"  # or "uniform", "parallel" (few scans for large K), or "given" with seeds
     max_iterations: int = 100
     min_changed: int = 0
     min_explained_change: float = 1e-4
@@ -141,7 +142,49 @@ def pick_row(m: BigMatrix, centroids: np.ndarray | None, seed: int, round_: int)
     return got["row_idx"], np.array(got["v"])
 
 
+def parallel_seeds(m: BigMatrix, k: int, seed: int = 1, rounds: int = 5, oversampling: float = 2.0) -> tuple[np.ndarray, list[int]]:
+    """k-means|| (Bahmani et al. 2012): each of a few scans draws about oversampling * k rows at once.
+
+    A row is drawn where its hash falls below its share of the distortion; the candidates, some
+    2 * rounds * k rows, are weighted by the rows nearest to them and thinned to k by k-means++ on the
+    driver. Twice as many scans as rounds, whatever k is.
+    """
+    row, v = pick_row(m, None, seed, 0)
+    candidates, rows = [v], [row]
+    for r in range(1, rounds + 1):
+        centres = np.array(candidates)
+        total = step(m, centres)[2]
+        if total <= 0:
+            break
+
+        def draw(batches: Iterator[pa.RecordBatch], centres=centres, total=total, r=r) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x, ids = block(b.column(1)), b.column(0).to_numpy()
+                share = oversampling * k * square_distances(x, centres).min(1) / total
+                yield b.filter(pa.array(_uniform(ids, seed, r) < share))
+
+        for got in m.df.select("row_idx", "v").mapInArrow(draw, "row_idx bigint, v array<double>").orderBy("row_idx").collect():
+            candidates.append(np.array(got["v"]))
+            rows.append(got["row_idx"])
+    x = np.array(candidates)
+    weight = step(m, x)[1].astype(float)
+    weight[weight == 0] = 1e-9
+    chosen: list[int] = []
+    for r in range(min(k, len(x))):
+        w = weight if not chosen else weight * square_distances(x, x[chosen]).min(1)
+        w[chosen] = 0
+        with np.errstate(divide="ignore"):
+            chosen.append(int(np.argmin(np.where(w > 0, -np.log(_uniform(np.arange(len(x)), seed + 1, r)) / np.where(w > 0, w, 1), np.inf))))
+    while len(chosen) < k:  # fewer different rows than seeds wanted
+        chosen.append(chosen[0])
+    return x[chosen], [rows[c] for c in chosen]
+
+
 def seeds(m: BigMatrix, k: int, seeding: str = "kmeans++", seed: int = 1) -> tuple[np.ndarray, list[int]]:
+    if seeding == "parallel":
+        return parallel_seeds(m, k, seed)
     rows: list[int] = []
     centres: list[np.ndarray] = []
     for r in range(k):
@@ -162,8 +205,22 @@ def min_square_distances(m: BigMatrix, centroids: np.ndarray) -> DataFrame:
 
 
 def kmeans(m: BigMatrix, config: KMeansConfig, given: np.ndarray | None = None, base_distortion: float | None = None) -> KMeansResult:
-    """Stops at max_iterations, when few rows change, or when the explained share moves little three times running."""
+    """Stops at max_iterations, when few rows change, or when the explained share moves little three times running.
+
+    For correlation distance the adjusted rows are written once, and not made again in every pass.
+    """
     data = prepared(m, config.distance)
+    if data is not m:
+        written = materialize(data.df, "kmeans-rows")
+        try:
+            return _iterated(data.with_df(written), config, given, base_distortion)
+        finally:
+            release(written)
+    return _iterated(data, config, given, base_distortion)
+
+
+def _iterated(data: BigMatrix, config: KMeansConfig, given: np.ndarray | None, base_distortion: float | None) -> KMeansResult:
+    m = data
     if given is not None:
         centroids, rows = np.asarray(given, float), []
     else:
@@ -188,14 +245,14 @@ def kmeans(m: BigMatrix, config: KMeansConfig, given: np.ndarray | None = None,
 
 
 def kmeans_batch(m: BigMatrix, ks: Sequence[int], **options) -> list[KMeansResult]:
-    """A result per K over one input, which is kept in memory meanwhile."""
-    kept = m.with_df(m.df.persist())
+    """A result per K over one input, which is prepared and written once."""
+    written = materialize(prepared(m, options.get("distance", "euclidean")).df, "kmeans-rows")
     try:
-        data = prepared(kept, options.get("distance", "euclidean"))
+        data = m.with_df(written)
         base = step(data, step(data, np.zeros((1, m.n_cols)))[0])[2]
-        return [kmeans(kept, KMeansConfig(k, **options), base_distortion=base) for k in ks]
+        return [_iterated(data, KMeansConfig(k, **options), None, base) for k in ks]
     finally:
-        kept.df.unpersist()
+        release(written)
 
 
 def results_table(spark: SparkSession, results: Sequence[KMeansResult], n_cols: int) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+
 
 def with_rank(df: DataFrame, *keys: Column, weight: Column | None = None) -> DataFrame:
     """df with rank: the rows before each in the order of keys, or the sum of their weights.
@@ -17,7 +19,8 @@ def with_rank(df: DataFrame, *keys: Column, weight: Column | None = None) -> Dat
     names = [f"_k{i}" for i in range(len(keys))]
     keyed = df.select("*", *(k.alias(n) for k, n in zip(keys, names)), (F.lit(1) if weight is None else weight).cast("bigint").alias("_w"))
     placed = keyed.repartitionByRange(*names).sortWithinPartitions(*names)
-    placed = placed.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_n")).persist()
+    placed = placed.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_n"))
+    placed = materialize(placed, "ranked")  # read twice, and numbered once
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("_p").agg(F.sum("_w").alias("_t")).select("_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_s"))
     within = Window.partitionBy("_p").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)

@@ -28,9 +28,14 @@ def gram(m: BigMatrix, centre: np.ndarray | None = None, centre_rows: bool = Fal
     return np.zeros((m.n_cols, m.n_cols)) if got is None else got
 
 
+def _means(m: BigMatrix) -> tuple[np.ndarray, int]:
+    """Column means and the number of rows, from one scan."""
+    rows = {r["col"]: r for r in column_stats(m).collect()}
+    return np.array([rows[j]["sum"] / rows[j]["cnt"] if j in rows else np.nan for j in range(m.n_cols)]), max((r["cnt"] for r in rows.values()), default=0)
+
+
 def column_means(m: BigMatrix) -> np.ndarray:
-    rows = {r["col"]: r["sum"] / r["cnt"] for r in column_stats(m).collect()}
-    return np.array([rows.get(j, np.nan) for j in range(m.n_cols)])
+    return _means(m)[0]
 
 
 def covariance_sums(m: BigMatrix) -> np.ndarray:
@@ -46,10 +51,9 @@ def pearson(m: BigMatrix) -> np.ndarray:
 
 
 def euclidean(m: BigMatrix, squared: bool = False) -> np.ndarray:
-    """Distances of columns; columns are centred first, which changes no distance and saves digits."""
-    c = covariance_sums(m)
-    mean = column_means(m)
-    n = m.df.count()
+    """Distances of columns, from two scans; columns are centred first, which changes no distance and saves digits."""
+    mean, n = _means(m)
+    c = gram(m, mean)
     s = np.diag(c)[:, None] + np.diag(c)[None] - 2 * c + n * (mean[:, None] - mean[None]) ** 2
     s = np.maximum(s, 0)
     return s if squared else np.sqrt(s)

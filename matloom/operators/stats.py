@@ -59,12 +59,36 @@ def tree_sum(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.nda
     return sum(np.frombuffer(r["data"]).reshape(r["shape"]) for r in rows) if rows else None
 
 
+def quantiles(cells: DataFrame, fractions: Sequence[float]) -> DataFrame:
+    """(col, fraction, value) of (col, value) by linear interpolation, exactly; NaN and null are skipped.
+
+    Equal values are counted first, then ranked by a range-partitioned sort: of each column the two
+    values on either side of a fraction's place are taken, and no task holds a column.
+    """
+    from .order import with_rank
+
+    counts = cells.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("col", "value").agg(F.count("*").alias("w"))
+    ranked = with_rank(counts, F.col("col"), F.col("value"), weight=F.col("w"))
+    ends = ranked.groupBy("col").agg(F.min("rank").alias("first"), F.sum("w").alias("n"))  # a row per column
+    wanted = F.explode(F.array(*(F.lit(float(f)) for f in fractions)))
+    places = ends.select("col", "first", wanted.alias("fraction"), "n").withColumn("at", F.col("fraction") * (F.col("n") - 1))
+    low = places.select(F.col("col").alias("c"), "fraction", "at", (F.col("first") + F.floor("at")).alias("lo"), (F.col("first") + F.ceil("at")).alias("hi"))
+    met = ranked.join(low, (F.col("col") == F.col("c")) & (F.col("rank") <= F.col("hi")) & (F.col("lo") < F.col("rank") + F.col("w")))
+    # one or two rows a place: the value that holds lo, and the one that holds hi
+    at_lo = F.max(F.when((F.col("rank") <= F.col("lo")) & (F.col("lo") < F.col("rank") + F.col("w")), F.col("value")))
+    at_hi = F.max(F.when((F.col("rank") <= F.col("hi")) & (F.col("hi") < F.col("rank") + F.col("w")), F.col("value")))
+    got = met.groupBy("col", "fraction", "at").agg(at_lo.alias("a"), at_hi.alias("b"))
+    return got.select("col", "fraction", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))).alias("value"))
+
+
 def column_quantiles(m: BigMatrix, fractions: Sequence[float], exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """(col, fraction, value) by linear interpolation; not exact: by a sketch of bounded memory. NaN is skipped."""
-    long = m.long().where(~F.isnan("value"))
+    long = m.long()
+    if exact:
+        return quantiles(long.select("col", "value"), fractions)
     at = F.array(*(F.lit(float(f)) for f in fractions))
-    found = F.percentile("value", at) if exact else F.percentile_approx("value", at, accuracy)
-    return long.groupBy("col").agg(found.alias("q")).select("col", F.posexplode("q").alias("i", "value")).select("col", F.get(at, F.col("i")).alias("fraction"), "value")
+    found = long.where(~F.isnan("value")).groupBy("col").agg(F.percentile_approx("value", at, accuracy).alias("q"))
+    return found.select("col", F.posexplode("q").alias("i", "value")).select("col", F.get(at, F.col("i")).alias("fraction"), "value")
 
 
 def degree_histogram(m: BigMatrix, width: float) -> DataFrame:
@@ -79,4 +103,4 @@ def values_at_rank_of(m: BigMatrix, ref_col: int, ref_value: float) -> DataFrame
     """
     got = m.df.select(F.get("v", F.lit(ref_col)).alias("x")).agg(F.count("*").alias("n"), F.count_if(F.col("x") < ref_value).alias("below")).first()
     fraction = min(1.0, got["below"] / max(got["n"] - 1, 1))
-    return m.long().groupBy("col").agg(F.percentile("value", F.lit(fraction)).alias("value"))
+    return quantiles(m.long().select("col", "value"), [fraction]).select("col", "value")

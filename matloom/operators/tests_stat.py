@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import critical_f, sign_test, t_two_sided
 from ..matrix import BigMatrix, block, map_scalars
+from .stats import quantiles
 
 EPS = float(np.finfo(float).eps)
 
@@ -48,9 +49,10 @@ def control_rows_by_anova(m: BigMatrix, groups: Sequence[Sequence[int]], p: floa
 
 
 def f_summary(fs: DataFrame) -> DataFrame:
-    """Mean and median F over the rows that have one."""
+    """Mean and median F over the rows that have one; the median by ranks, in one row like the mean."""
     ok = fs.where(~F.isnan("f"))
-    return ok.agg(F.avg("f").alias("mean_f"), F.median("f").alias("median_f"), F.count("*").alias("n"))
+    middle = quantiles(ok.select(F.lit(0).alias("col"), F.col("f").alias("value")), [0.5]).agg(F.max("value").alias("median_f"))
+    return ok.agg(F.avg("f").alias("mean_f"), F.count("*").alias("n")).crossJoin(middle).select("mean_f", "median_f", "n")
 
 
 def welch(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -3,67 +3,97 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.store import read_text, write_text
+from ..sources.store import read_text
 
 KINDS = ("domain", "column", "stats", "model")
 FIRST_ID = 101
 
 
+class Conflict(RuntimeError):
+    """Another writer changed the table meanwhile, again and again."""
+
+
 class Catalog:
-    """Small tables of JSON records by kind and id; every change writes the kind's table anew."""
+    """Small tables of JSON records by kind and id, read anew by every call.
+
+    A change writes the kind's next version as a folder that must not exist yet, and the greatest
+    whole version counts: of two writers one fails, reads what the other wrote and tries again, and
+    a reader never meets half a table. Old versions stay until vacuum().
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.held: dict[str, dict[int, dict]] = {}
 
-    def _table(self, kind: str) -> dict[int, dict]:
+    def _versions(self, kind: str) -> list[int]:
         if kind not in KINDS:
             raise KeyError(kind)
-        if kind not in self.held:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        fs = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(place):
+            return []
+        found = [f.getPath() for f in fs.listStatus(place)]
+        return sorted(int(p.getName()[1:]) for p in found if p.getName().startswith("v") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def _table(self, kind: str) -> tuple[int, dict[int, dict]]:
+        versions = self._versions(kind)
+        if not versions:
+            return 0, {}
+        text = read_text(self.spark, f"{self.path}/{kind}/v{versions[-1]:08d}")
+        return versions[-1], {int(k): v for k, v in json.loads(text).items()}
+
+    def _change(self, kind: str, fn: Callable[[dict[int, dict]], int | None], tries: int = 20) -> int | None:
+        for _ in range(tries):
+            version, table = self._table(kind)
+            out = fn(table)
             try:
-                self.held[kind] = {int(k): v for k, v in json.loads(read_text(self.spark, f"{self.path}/{kind}.json")).items()}
+                frame = self.spark.createDataFrame([(json.dumps(table),)], "value string").coalesce(1)
+                frame.write.mode("errorifexists").text(f"{self.path}/{kind}/v{version + 1:08d}")
+                return out
             except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
+                if "PATH_ALREADY_EXISTS" not in str(e):
                     raise
-                self.held[kind] = {}
-        return self.held[kind]
+        raise Conflict(kind)
 
-    def _save(self, kind: str) -> None:
-        write_text(self.spark, f"{self.path}/{kind}.json", json.dumps(self.held[kind]))
+    def vacuum(self, kind: str, keep: int = 2) -> None:
+        """Delete all but the newest versions."""
+        for v in self._versions(kind)[:-keep]:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/v{v:08d}")
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
     def create(self, kind: str, **record) -> int:
-        table = self._table(kind)
-        new = max(table, default=FIRST_ID - 1) + 1
-        table[new] = record
-        self._save(kind)
-        return new
+        def add(table: dict[int, dict]) -> int:
+            new = max(table, default=FIRST_ID - 1) + 1
+            table[new] = record
+            return new
+
+        return self._change(kind, add)
 
     def get(self, kind: str, id_: int) -> dict:
-        table = self._table(kind)
-        if id_ not in table:
-            raise KeyError(f"no {kind} {id_}")
-        return dict(table[id_])
+        return _record(self._table(kind)[1], kind, id_)
 
     def set(self, kind: str, id_: int, **record) -> None:
-        self.get(kind, id_)
-        self._table(kind)[id_] |= record
-        self._save(kind)
+        self._change(kind, lambda table: table.__setitem__(id_, _record(table, kind, id_) | record))
 
     def remove(self, kind: str, id_: int) -> None:
-        self.get(kind, id_)
-        del self._table(kind)[id_]
-        self._save(kind)
+        self._change(kind, lambda table: (_record(table, kind, id_), table.pop(id_), None)[2])
 
     def list(self, kind: str) -> list[tuple[int, dict]]:
-        return sorted(self._table(kind).items())
+        return sorted(self._table(kind)[1].items())
 
     def as_table(self, kind: str) -> DataFrame:
         return self.spark.createDataFrame([(i, json.dumps(r, sort_keys=True)) for i, r in self.list(kind)], "id bigint, record string")
 
 
+def _record(table: dict[int, dict], kind: str, id_: int) -> dict:
+    if id_ not in table:
+        raise KeyError(f"no {kind} {id_}")
+    return dict(table[id_])
+
+
 class Views:
     """Lazy derived matrices by name, registered as temporary views once."""
 

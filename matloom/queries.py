@@ -12,10 +12,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.distributions import critical_f
 from .matrix import BigMatrix
 from .operators import bins as B
 from .operators import factor, joins, kmeans, order, pairwise, rowops, select, stats, tests_stat
+from .scratch import materialize, scratch_path
+from .sources import files, store
 
 YEARS = range(1995, 2002)
 BIN = 3600
@@ -284,7 +285,11 @@ def row_anova_f(spark, d):
     return tests_stat.row_anova(matrix_e(spark, d), GROUPS).select("row_idx", _r("f").alias("f"))
 
 
-@query(_ANOVA + f"SELECT row_idx, f < {critical_f(CONTROL_P, 3, 60)!r} AS is_control FROM f")
+#: Fixed value: the upper 5 % point of F with 3 and 60 degrees of freedom, as tables have it.
+_F_3_60 = 2.758078
+
+
+@query(_ANOVA + f"SELECT row_idx, f < {_F_3_60} AS is_control FROM f")
 def anova_control_flags(spark, d):
     return tests_stat.control_rows_by_anova(matrix_e(spark, d), GROUPS, CONTROL_P).select("row_idx", "is_control")
 
@@ -324,19 +329,22 @@ def bin_map_lookup(spark, d):
     return B.bin_ranges(bins_g(spark, d), at.where("bin >= 0").select("bin").distinct(), BIN)
 
 
-@query(f"WITH {G}, r AS (SELECT start_bin, s AS a, least(s + 1 + event_id % 100, 2678400) AS z FROM g JOIN refs USING (ref)), k AS (SELECT DISTINCT bin FROM (SELECT start_bin + s // 3600 AS bin FROM g JOIN refs USING (ref)) WHERE bin % 97 = 3), c AS (SELECT start_bin + x // 3600 AS bin, x % 3600 AS off, count(*) AS n FROM r, unnest(range(a, z)) AS t(x) GROUP BY ALL) SELECT CAST(k.bin AS BIGINT) AS bin, CAST(o.off AS BIGINT) AS \"offset\", coalesce(n, 0) AS count FROM k CROSS JOIN (SELECT unnest(range(3600)) AS off) AS o LEFT JOIN c ON c.bin = k.bin AND c.off = o.off")
+def _touched(g: DataFrame, b: DataFrame) -> DataFrame:
+    ends = [B.located(g, b, BIN, pos).where("bin >= 0").select("bin") for pos in (F.col("start"), F.least(F.col("end"), F.lit(MONTH)) - 1)]
+    return ends[0].unionByName(ends[1]).distinct()
+
+
+@query(f"WITH {G}, r AS (SELECT start_bin, s AS a, least(s + 1 + event_id % 100, 2678400) AS z FROM g JOIN refs USING (ref)) SELECT CAST(start_bin + x // 3600 AS BIGINT) AS bin, CAST(x % 3600 AS BIGINT) AS \"offset\", count(*) AS count FROM r, unnest(range(a, z)) AS t(x) GROUP BY ALL")
 def per_unit_coverage(spark, d):
-    g, b = points_g(spark, d), bins_g(spark, d)
-    wanted = B.located(g, b, BIN, F.col("start")).where("bin >= 0 and bin % 97 = 3").select("bin").distinct()
-    return B.coverage(g, b, BIN, wanted)
+    """The covered units of every bin; per_unit_coverage_all_bins has the others, too."""
+    return per_unit_coverage_all_bins(spark, d).where("count <> 0")
 
 
 @query()
 def per_unit_coverage_all_bins(spark, d):
-    """Every bin that an interval touches; per_unit_coverage is the part of it that its SQL covers."""
+    """Every unit of every bin that an interval touches."""
     g, b = points_g(spark, d), bins_g(spark, d)
-    ends = [B.located(g, b, BIN, pos).where("bin >= 0").select("bin") for pos in (F.col("start"), F.least(F.col("end"), F.lit(MONTH)) - 1)]
-    return B.coverage(g, b, BIN, ends[0].unionByName(ends[1]).distinct())
+    return B.coverage(g, b, BIN, _touched(g, b))
 
 
 @query(f"WITH {G}, i AS (SELECT s AS a, s + 1 + event_id % 100 AS z FROM g WHERE ref = (SELECT min(ref) FROM g)) SELECT count(DISTINCT x) AS n FROM i, unnest(range(a, z)) AS t(x) WHERE x >= 100000 AND x < 1000000")
@@ -402,20 +410,18 @@ def concordance_at_top(spark, d):
 @query("SELECT c_mktsegment AS key, list(c_custkey ORDER BY c_custkey)[1] AS first_row, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment HAVING count(*) >= 3")
 def associate_rows(spark, d):
     c = _table(spark, d, "customer").select(F.col("c_mktsegment").alias("key"), F.col("c_custkey").alias("row_idx"))
-    got = joins.associate(c.select("key"), c, "key", 3)
-    return got.select("key", F.get("rows", F.lit(0)).alias("first_row"), F.size("rows").cast("bigint").alias("n"))
+    return joins.associate(c.select("key"), c, "key", 3).groupBy("key").agg(F.min("row_idx").alias("first_row"), F.max("n").alias("n"))
 
 
-@query(f"WITH {G}, k AS (SELECT ref, s AS a, s + 1 + event_id % 100 AS z, event_id AS region FROM g WHERE event_id % 50 = 0) SELECT g.event_id, k.region FROM g JOIN k ON g.ref = k.ref AND g.s >= k.a AND g.s < k.z")
-def regions_of_points(spark, d):
-    g = points_g(spark, d)
-    r = g.where("event_id % 50 = 0").select("ref", F.col("start").alias("a"), F.col("end").alias("z"), F.col("event_id").alias("region"))
-    return joins.in_ranges(g.select("ref", "start", "event_id"), r, "start", "a", "z", 256, on="ref").select("event_id", "region")
+@query("SELECT c_mktsegment AS key, c_custkey AS row_idx, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer WHERE c_mktsegment IS NOT NULL QUALIFY n >= 3")
+def associated_pairs(spark, d):
+    c = _table(spark, d, "customer").select(F.col("c_mktsegment").alias("key"), F.col("c_custkey").alias("row_idx"))
+    return joins.associate(c.select("key"), c, "key", 3)
 
 
-@query()
-def regions_of_points_all_events(spark, d):
-    """Every event's interval is a region; regions_of_points is the part of it that its SQL covers."""
+@query(f"WITH {G}, k AS (SELECT ref, s AS a, s + 1 + event_id % 100 AS z, event_id AS region FROM g) SELECT g.event_id, k.region FROM g JOIN k ON g.ref = k.ref AND g.s >= k.a AND g.s < k.z")
+def regions_of_points(spark, d):
+    """Every event's interval is a region."""
     g = points_g(spark, d)
     r = g.select("ref", F.col("start").alias("a"), F.col("end").alias("z"), F.col("event_id").alias("region"))
     return joins.in_ranges(g.select("ref", "start", "event_id"), r, "start", "a", "z", 256, on="ref").select("event_id", "region")
@@ -450,6 +456,26 @@ def kmeans_one_step(spark, d):
     return _one_step(spark, matrix_e(spark, d))
 
 
+@query(
+    f"WITH {E}, " + _STEP.format(x="e") + ", c2 AS (SELECT cl, col, avg(value) AS value FROM e JOIN a USING (row_idx) GROUP BY cl, col), "
+    "d3 AS (SELECT e.row_idx, c2.cl, sum((e.value - c2.value) * (e.value - c2.value)) AS d2 FROM e JOIN c2 USING (col) GROUP BY e.row_idx, c2.cl), "
+    "a3 AS (SELECT row_idx, cl FROM (SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY d2, cl) AS k FROM d3) WHERE k = 1) "
+    + _NEW.format(x="e").replace("JOIN a USING", "JOIN a3 USING")
+)
+def kmeans_two_steps(spark, d):
+    m = matrix_e(spark, d)
+    first = kmeans.step(m, kmeans.seeds_of_rows(m, range(5)))[0]
+    new, counts, _, _ = kmeans.step(m, first)
+    return _centroids(spark, new, counts)
+
+
+@query()
+def kmeans_parallel_seeds(spark, d):
+    m = matrix_e(spark, d)
+    r = kmeans.kmeans(m, kmeans.KMeansConfig(20, seeding="parallel", max_iterations=5))
+    return kmeans.centroid_table(spark, r)
+
+
 _UNIT = "n AS (SELECT row_idx, col, c / sqrt(sum(c * c) OVER (PARTITION BY row_idx)) AS value FROM (SELECT row_idx, col, value - avg(value) OVER (PARTITION BY row_idx) AS c FROM e))"
 
 
@@ -467,7 +493,7 @@ def kmeans_pp_distance(spark, d):
 @query()
 def kmeans_fixed_iters(spark, d):
     m = matrix_e(spark, d)
-    kept = m.with_df(m.df.persist())
+    kept = m.with_df(materialize(m.df, "kmeans-input"))
     r = kmeans.kmeans(kept, kmeans.KMeansConfig(10, max_iterations=10))
     return kmeans.assign(kept, r.centroids)
 
@@ -481,7 +507,22 @@ def _logged(spark, d) -> BigMatrix:
     return rowops.log_counts(rowops.common_library_size(matrix_u(spark, d), "median"))
 
 
-@query()
+#: Two leading eigenvectors of the control rows' Gram matrix by power iteration, the second with the first taken out.
+_RUVG = f"""WITH RECURSIVE {U}, sz AS (SELECT col, sum(value) AS s FROM u GROUP BY col), md AS (SELECT median(s) AS m FROM sz),
+lg AS (SELECT row_idx, col, ln(value * (m / s) + 1) AS value FROM u JOIN sz USING (col), md),
+c AS (SELECT *, value - avg(value) OVER (PARTITION BY row_idx) AS y FROM lg),
+k AS (SELECT c.* FROM c JOIN (SELECT row_idx FROM u GROUP BY row_idx HAVING max(value) BETWEEN 4 AND 30) USING (row_idx)),
+gm AS (SELECT a.col AS i, b.col AS j, sum(a.y * b.y) AS g FROM k AS a JOIN k AS b USING (row_idx) GROUP BY ALL),
+mt AS (SELECT list(r ORDER BY i) AS mx, list_transform(range(count(*)), lambda x: cos(1.7 * x + 0.3)) AS v0 FROM (SELECT i, list(g ORDER BY j) AS r FROM gm GROUP BY i)),
+p AS (SELECT 0 AS t, v0 AS v FROM mt UNION ALL SELECT t + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (SELECT t, list_transform(mx, lambda r: list_dot_product(r, v)) AS w FROM p, mt WHERE t < 600)),
+v1 AS (SELECT v AS a FROM p WHERE t = 600),
+o AS (SELECT 0 AS t, v0 AS v FROM mt UNION ALL SELECT t + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (
+  SELECT t, list_transform(list_zip(w0, a), lambda z: z[1] - list_dot_product(w0, a) * z[2]) AS w FROM (SELECT t, a, list_transform(mx, lambda r: list_dot_product(r, v)) AS w0 FROM o, mt, v1 WHERE t < 600))),
+v2 AS (SELECT v AS b FROM o WHERE t = 600),
+f AS (SELECT row_idx, sum(y * a[CAST(col + 1 AS INTEGER)]) AS fa, sum(y * b[CAST(col + 1 AS INTEGER)]) AS fb FROM c, v1, v2 GROUP BY row_idx) """
+
+
+@query(_RUVG + "SELECT row_idx, CAST(col AS BIGINT) AS col, round(value - fa * a[CAST(col + 1 AS INTEGER)] - fb * b[CAST(col + 1 AS INTEGER)], 6) + 0.0 AS value FROM c JOIN f USING (row_idx), v1, v2")
 def factor_ruvg_project(spark, d):
     m = _logged(spark, d)
     model = factor.fit_ruvg(m, factor.control_rows(matrix_u(spark, d), "weak-signal"))
@@ -512,6 +553,170 @@ def variance_decomposition(spark, d):
     return got.select(*(_r(c).alias(c) for c in ("ss_t", "ss_b", "ss_u", "ss_r", "b_ss_bl", "b_ss_wl", "b", "e")))
 
 
+#: A known factor that tells the first 32 columns from the others; centred it is 1/2 and -1/2, and its square 16.
+HALVES = [[1.0] * 32 + [0.0] * 32]
+_KNOWN = f"""WITH {E}, y AS (SELECT row_idx, col, value, avg(value) OVER r AS m, CASE WHEN col < 32 THEN 0.5 ELSE -0.5 END AS s FROM e WINDOW r AS (PARTITION BY row_idx)),
+a AS (SELECT *, s * sum(s * (value - m)) OVER (PARTITION BY row_idx) / 16 AS art FROM y),
+p AS (SELECT *, avg(value - m - art) OVER (PARTITION BY row_idx, col // 16) AS sg, value - art AS kept FROM a) """
+
+
+def _known_model(m: BigMatrix):
+    return factor.fit_ruvg(m, known=np.array(HALVES), groups=GROUPS)
+
+
+@query(_KNOWN + "SELECT row_idx, CAST(col AS BIGINT) AS col, round(art, 6) + 0.0 AS artifact, round(sg + m, 6) + 0.0 AS signal, round(value - m - art - sg, 6) + 0.0 AS random FROM p")
+def known_factor_components(spark, d):
+    m = matrix_e(spark, d)
+    model = _known_model(m)
+    parts = [_long(factor.component(m, model, which, 0, 1)).withColumnRenamed("value", which) for which in ("artifact", "signal", "random")]
+    return parts[0].join(parts[1], ["row_idx", "col"]).join(parts[2], ["row_idx", "col"])
+
+
+@query(_KNOWN + "SELECT 1 AS n_known, CAST(x.a AS INTEGER) AS a, CAST(x.b AS INTEGER) AS b, value FROM (" + _PAIR.format("round(sqrt(sum((a.kept - b.kept) * (a.kept - b.kept))), 6) AS value", x="p") + ") AS x")
+def distance_known_factor(spark, d):
+    m = matrix_e(spark, d)
+    ((_, square),) = factor.per_config(m, _known_model(m), [(0, 1)], lambda c: pairwise.distance_matrix(c, "euclidean")).items()
+    return _pairs(spark, square).select(F.lit(1).alias("n_known"), "a", "b", "value")
+
+
+@query(_KNOWN + """, gm AS (SELECT row_idx, col // 16 AS g, count(*) AS n, avg(kept) AS mg, var_pop(kept) * count(*) AS ss FROM p GROUP BY ALL),
+t AS (SELECT row_idx, avg(kept) AS gmean FROM p GROUP BY row_idx)
+SELECT 1 AS n_known, row_idx, round((sum(n * (mg - gmean) * (mg - gmean)) / 3) / (sum(ss) / 60), 6) AS f FROM gm JOIN t USING (row_idx) GROUP BY row_idx""")
+def anova_known_factor(spark, d):
+    m = matrix_e(spark, d)
+    return factor.anova_by_config(m, _known_model(m), [(0, 1)], GROUPS).select("n_known", "row_idx", _r("f").alias("f"))
+
+
+@query(_KNOWN + """, w AS (SELECT *, sg + m AS b, avg(sg + m) OVER (PARTITION BY row_idx) AS rb FROM p),
+t AS (SELECT avg(value) AS gt, avg(b) AS gb, avg(art) AS gu, avg(b + art) AS gbu, avg(value - b - art) AS gr FROM w),
+q AS (SELECT sum((value - gt) ** 2) AS ss_t, sum((b - gb) ** 2) AS ss_b, sum((art - gu) ** 2) AS ss_u, sum((b + art - gbu) ** 2) AS ss_bu, sum((value - b - art - gr) ** 2) AS ss_r, sum((rb - gb) ** 2) AS b_ss_bl, sum((b - rb) ** 2) AS b_ss_wl FROM w, t)
+SELECT 1 AS n_known, round(ss_t, 6) AS ss_t, round(ss_b, 6) AS ss_b, round(ss_u, 6) AS ss_u, round(ss_bu, 6) AS ss_bu, round(ss_r, 6) AS ss_r, round(b_ss_bl, 6) AS b_ss_bl, round(b_ss_wl, 6) AS b_ss_wl,
+round(ss_b / ss_t, 6) AS b, round(ss_bu / ss_t - ss_b / ss_t, 6) + 0.0 AS u, round(1 - ss_bu / ss_t, 6) AS e FROM q""")
+def variance_known_factor(spark, d):
+    m = matrix_e(spark, d)
+    got = factor.decompose_variance(m, _known_model(m), [(0, 1)])
+    return got.select("n_known", *(_r(c).alias(c) for c in ("ss_t", "ss_b", "ss_u", "ss_bu", "ss_r", "b_ss_bl", "b_ss_wl", "b", "u", "e")))
+
+
+@query(_KNOWN + "SELECT CAST(n AS INTEGER) AS n_known, row_idx, CAST(col AS BIGINT) AS col, round(CASE WHEN n = 0 THEN 0 ELSE art END, 6) + 0.0 AS value FROM p, (SELECT unnest([0, 1]) AS n)")
+def exported_configs(spark, d):
+    """Components of several configurations written as one matrix each, and read back from their folders."""
+    m, path = matrix_e(spark, d), scratch_path(spark, "configs")
+    store.export_configs(m, _known_model(m), "artifact", [(0, 0), (0, 1)], path)
+    back = spark.read.parquet(path)
+    return back.select(F.col("n_known").cast("int").alias("n_known"), "row_idx", F.posexplode("v").alias("col", "value")).select("n_known", "row_idx", F.col("col").cast("bigint").alias("col"), _r("value").alias("value"))
+
+
+# --- sources and sinks: tables written in a format and read back ---------------------------------
+
+_RANKED = f"WITH {P}, k AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part) "
+_RANKED_ROWS = "SELECT k.pos AS row_idx, CAST(col AS BIGINT) AS col, round(value, 6) + 0.0 AS value FROM p JOIN k ON k.p_partkey = p.row_idx"
+
+
+def _numbered(spark: SparkSession, d: str) -> tuple[BigMatrix, int]:
+    """matrix_p with rows numbered from 0 in their order, as files without row ids have them."""
+    m = matrix_p(spark, d)
+    ranked = order.with_rank(m.df, F.col("row_idx")).select(F.col("rank").alias("row_idx"), "v")
+    return m.with_df(ranked), ranked.count()
+
+
+@query(_RANKED + _RANKED_ROWS.replace("round(value, 6)", "round(value + 1, 6)"))
+def text_round_trip(spark, d):
+    """A text matrix with a heading and a first column of names, 1 added to each cell when it is read."""
+    (m, n), path = _numbered(spark, d), scratch_path(spark, "text")
+    lines = m.df.select("row_idx", F.concat_ws("\t", F.concat(F.lit("part"), F.col("row_idx").cast("string")), F.array_join(F.col("v").cast("array<string>"), "\t")).alias("value"))
+    heading = spark.createDataFrame([(-1, "\t".join(["name", *(name for _, name in m.cols)]))], lines.schema)
+    lines.unionByName(heading).repartitionByRange(4, "row_idx").sortWithinPartitions("row_idx").select("value").write.text(path)
+    return _long(files.text_matrix(spark, path, n, m.n_cols, sep="\t", skip_cols=1, skip_rows=1, col_names=True, add=1.0))
+
+
+@query(_RANKED + _RANKED_ROWS)
+def binary_round_trip(spark, d):
+    (m, n), prefix = _numbered(spark, d), scratch_path(spark, "binary") + "/m"
+    _folder(spark, prefix)
+    files.write_binary(m, prefix, n)
+    return _long(files.load(spark, f"binary-mat@{prefix}", n_rows=n, n_cols=m.n_cols))
+
+
+@query(_RANKED + _RANKED_ROWS)
+def binary_batches_round_trip(spark, d):
+    """Numbered files of at most 40 rows, read in ranges of some rows."""
+    (m, n), prefix = _numbered(spark, d), scratch_path(spark, "batches") + "/m"
+    _folder(spark, prefix)
+    limit = 40 * m.n_cols * 8
+    files.write_binary(m, prefix, n, limit=limit)
+    return _long(files.binary_matrix(spark, prefix, n, m.n_cols, limit=limit, chunk_bytes=1000))
+
+
+def _folder(spark: SparkSession, prefix: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(prefix).getParent()
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+
+
+@query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_idx, CAST(p_size AS BIGINT) AS value FROM part")
+def integer_vector_round_trip(spark, d):
+    sizes = _table(spark, d, "part").select(F.col("p_partkey").alias("row_idx"), F.array(F.col("p_size").cast("double")).alias("v"))
+    ranked = order.with_rank(sizes, F.col("row_idx")).select(F.col("rank").alias("row_idx"), "v")
+    prefix, n = scratch_path(spark, "vector") + "/v", ranked.count()
+    _folder(spark, prefix)
+    files.write_binary(BigMatrix.of(ranked, 1), prefix, n, "<i4")
+    return files.binary_vector(spark, prefix, n)
+
+
+@query(f"WITH {P} SELECT row_idx, CAST(col AS BIGINT) AS col, round(value, 6) + 0.0 AS value FROM p WHERE row_idx >= 20 AND row_idx < 120 AND col IN (2, 5)")
+def store_round_trip(spark, d):
+    """A matrix stored in two parts, of which a range of rows and two columns are read back."""
+    m, path = matrix_p(spark, d), scratch_path(spark, "store")
+    store.save_matrix(m.rows(0, 50), path, "parts")
+    store.append_rows(m.with_df(m.df.where("row_idx >= 50")), path)
+    back = files.load(spark, f"matrix@{path}")
+    return _long(back.rows(20, 120).columns([3, 6])).withColumn("col", F.when(F.col("col") == 0, 2).otherwise(5).cast("bigint"))
+
+
+@query(f"WITH {P} SELECT 'parts' AS name, 7 AS n_cols, count(*) // 7 AS n_rows, min(row_idx) AS first_row, max(row_idx) AS last_row FROM p")
+def store_manifest(spark, d):
+    m, path = matrix_p(spark, d), scratch_path(spark, "manifest")
+    store.save_matrix(m, path, "parts")
+    got = store.read_manifest(spark, path)
+    return spark.createDataFrame([(got["name"], len(got["cols"]), got["n_rows"], got["first_row"], got["last_row"])], "name string, n_cols int, n_rows bigint, first_row bigint, last_row bigint")
+
+
+@query(f"WITH {E}, ids AS (SELECT unnest(range({len(IDS)})) AS pos, unnest({IDS}) AS row_idx) SELECT pos AS row_idx, CAST(col AS BIGINT) AS col, round(value, 6) + 0.0 AS value FROM ids JOIN e USING (row_idx)")
+def exported_ids_round_trip(spark, d):
+    m, path = matrix_e(spark, d), scratch_path(spark, "ids")
+    store.export_taken(select.take_rows(m, IDS), m, path)
+    return _long(store.load_output(spark, path))
+
+
+@query(f"WITH {U} " + _rows("CASE WHEN value < 10 THEN 0 ELSE value END", "u"))
+def exported_zero_background(spark, d):
+    path = scratch_path(spark, "background")
+    store.export_zero_background(matrix_u(spark, d), path, 10.0)
+    return _long(store.load_output(spark, path))
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, c_custkey - 1 AS row_idx FROM customer")
+def row_id_list_round_trip(spark, d):
+    path = scratch_path(spark, "rowids")
+    ids = _table(spark, d, "customer").select("c_custkey")
+    ids.repartitionByRange(3, "c_custkey").sortWithinPartitions("c_custkey").select(F.col("c_custkey").cast("string")).write.text(path)
+    return files.load(spark, f"text-rowids@{path}", base=1)
+
+
+@query("""WITH x AS (SELECT DISTINCT l_partkey AS site, l_orderkey AS o, l_linenumber AS l, l_linestatus AS w, l_returnflag AS k, CAST(l_quantity AS INTEGER) AS q, l_suppkey % 30 AS c FROM lineitem WHERE CAST(l_quantity AS INTEGER) >= 20 AND l_suppkey % 30 < 10)
+SELECT site - CASE WHEN w = 'O' THEN 0 ELSE 1 END AS site, count(*) FILTER (k <> 'R') AS total, count(*) FILTER (k = 'A') AS methylated FROM x GROUP BY ALL""")
+def evidence_round_trip(spark, d):
+    """Evidence written as a table of tabs, read with a least quality and some cycles, strands put together."""
+    path, x = scratch_path(spark, "evidence"), _table(spark, d, "lineitem")
+    watson, flag, number = F.col("l_linestatus") == "O", F.col("l_returnflag"), lambda c: c.cast("int")
+    allele = F.when(flag == "A", F.when(watson, "C").otherwise("G")).when(flag == "N", F.when(watson, "T").otherwise("A")).otherwise("X")
+    zero = [F.lit(0).alias(c) for c in ("IsForward", "SamFlag", "Qual1", "Qual2")]
+    rows = x.select(F.lit("chr1").alias("RefName"), F.col("l_partkey").alias("RefOffset"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("ReadID"), allele.alias("Allele"), number(watson).alias("IsWaston"), *zero, number(F.col("l_suppkey") % 30).alias("SeqCycle"), F.lit(50).alias("AlLen"), F.lit(0).alias("AlScore"), number(F.col("l_quantity")).alias("MAPQ"), F.lit("m").alias("MateID"))
+    rows.write.option("sep", "\t").option("header", "true").csv(path)
+    read = files.merge_strands(files.read_evidence(spark, path, 20, cycles=range(10)))
+    return B.count_methylated(read.select(F.col("RefOffset").alias("site"), (F.col("IsWaston") == 1).alias("is_watson"), F.col("Allele").alias("allele")))
+
+
 @query()
 def variance_by_config(spark, d):
     m = matrix_e(spark, d)

@@ -197,10 +197,50 @@ def read_bam(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return files.mapInArrow(run, "sample string, ref string, start bigint, end bigint, is_mapped boolean")
 
 
-def read_evidence(spark: SparkSession, path: str, min_mapq: int = 0, sep: str = "\t") -> DataFrame:
-    """Methylation evidence rows with a mapping quality of at least min_mapq, repeated rows once."""
+def bam_matrix(spark: SparkSession, listing: str, width: int, refs: Sequence[str] | None = None, paths: Sequence[str] | None = None) -> BigMatrix:
+    """Counts of read midpoints: a row for every bin of ``width`` units, a column for each alignment file.
+
+    listing names the files, a line each, taken from the listing's folder unless they are absolute
+    (or give them as ``paths``). Bins are those of ``refs`` in their order, or of the references that
+    all files have, in natural order; every file must have each with one length. Bins without reads
+    are rows of zeros.
+    """
+    from ..operators.bins import bin_map, located, natural_key, total_bins
+
+    if paths is None:
+        folder = listing.rpartition("/")[0]
+        names = [r["value"].strip() for r in numbered_lines(spark, listing).orderBy("line").collect()]  # a row per file
+        paths = [n if n.startswith("/") or "://" in n else f"{folder}/{n}" for n in names if n and not n.startswith("#")]
+    known = [dict(bam_references(p)) for p in paths]
+    shared = set.intersection(*map(set, known)) if known else set()
+    wanted = sorted(shared, key=natural_key) if refs is None else list(refs)
+    for r in wanted:
+        lengths = {k.get(r) for k in known}
+        if len(lengths) != 1 or None in lengths:
+            raise ValueError(f"the files do not agree on {r}: {lengths}")
+    bins = bin_map(spark, [(r, known[0][r]) for r in wanted], width)
+    place = F.create_map(*(x for j, p in enumerate(paths) for x in (F.lit(p), F.lit(j))))
+    at = located(read_bam(spark, paths).where("is_mapped"), bins, width, F.expr("(start + end) div 2")).where("bin >= 0")
+    cells = at.groupBy(F.col("bin").alias("row_idx"), place[F.col("sample")].alias("col")).agg(F.count("*").cast("double").alias("value"))
+    every = spark.range(total_bins(bins)).select(F.col("id").alias("row_idx"), F.lit(0).alias("col"), F.lit(0.0).alias("value"))
+    return BigMatrix.from_long(cells.unionByName(every), len(paths), names=[p.rpartition("/")[2] for p in paths])
+
+
+def merge_strands(evidence: DataFrame) -> DataFrame:
+    """Evidence with Crick positions moved to the Watson base of their CpG, one before."""
+    at = F.col("RefOffset") - F.when(F.col("IsWaston") == 0, 1).otherwise(0)
+    return evidence.withColumn("RefOffset", at)
+
+
+def read_evidence(spark: SparkSession, path: str, min_mapq: int = 0, sep: str = "\t", cycles: Sequence[int] | None = None) -> DataFrame:
+    """Methylation evidence rows with a mapping quality of at least min_mapq, repeated rows once.
+
+    cycles: only bases of these sequencing cycles are read, all of them unless given.
+    """
+    # fixed values: the columns of the evidence format, with its spelling
     fields = "RefName string, RefOffset bigint, ReadID string, Allele string, IsWaston int, IsForward int, SamFlag int, Qual1 int, Qual2 int, SeqCycle int, AlLen int, AlScore int, MAPQ int, MateID string"
-    return spark.read.csv(path, schema=fields, sep=sep, header=True).where(F.col("MAPQ") >= min_mapq).dropDuplicates()
+    rows = spark.read.csv(path, schema=fields, sep=sep, header=True).where(F.col("MAPQ") >= min_mapq)
+    return (rows if cycles is None else rows.where(F.col("SeqCycle").isin([int(c) for c in cycles]))).dropDuplicates()
 
 
 # --- sheets and specifications ----------------------------------------------------------------
@@ -225,13 +265,19 @@ def parse_spec(spec: str) -> tuple[str, str]:
     return kind, place
 
 
-LOADERS: dict[str, Callable[..., object]] = {"text-mat": text_matrix, "binary-mat": binary_matrix, "text-rowids": row_ids}
+LOADERS: dict[str, Callable[..., object]] = {"text-mat": text_matrix, "binary-mat": binary_matrix, "text-rowids": row_ids, "bams": bam_matrix}
+#: Further names of the kinds, for specifications written for other programs: {their name: kind}.
+ALIASES: dict[str, str] = {}
 
 
 def load(spark: SparkSession, spec: str, **options):
+    """What a specification type@location names; other names of types are looked up in ALIASES."""
     from .store import load_output
 
     kind, place = parse_spec(spec)
+    kind = ALIASES.get(kind, kind)
+    if kind not in LOADERS and kind not in ("output", "matrix", "kmeans-data-mat", "kmeans-seeds-mat"):
+        raise ValueError(f"unknown type {kind}: give one of {sorted(LOADERS)} or output, or name it in ALIASES")
     if kind in ("output", "matrix", "kmeans-data-mat", "kmeans-seeds-mat"):
         return load_output(spark, place)
     return LOADERS[kind](spark, place, **options)

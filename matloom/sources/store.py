@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..matrix import BigMatrix
+from ..matrix import SCHEMA, BigMatrix
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -18,20 +18,39 @@ def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r["value"] for r in spark.read.text(path).collect())
 
 
+def _rows_of(spark: SparkSession, path: str) -> dict:
+    """What the manifest says of the rows, from the statistics of the written files."""
+    got = spark.read.schema(SCHEMA).parquet(f"{path}/data").agg(F.count("row_idx").alias("n"), F.min("row_idx").alias("lo"), F.max("row_idx").alias("hi")).first()
+    return {"n_rows": got["n"], "first_row": got["lo"], "last_row": got["hi"]}
+
+
 def save_matrix(m: BigMatrix, path: str, name: str = "matrix", **more) -> None:
-    """Range-partitioned and sorted by row_idx, so that a row range prunes files and row groups."""
+    """Range-partitioned and sorted by row_idx, so that a row range prunes files and row groups.
+
+    The manifest has the columns' ids and names, the number of rows and the least and greatest row id.
+    """
+    spark = m.df.sparkSession
     m.df.select("row_idx", "v").repartitionByRange("row_idx").sortWithinPartitions("row_idx").write.mode("overwrite").parquet(f"{path}/data")
-    write_text(m.df.sparkSession, f"{path}/manifest.json", json.dumps({"name": name, "cols": [list(c) for c in m.cols], **more}))
+    write_text(spark, f"{path}/manifest.json", json.dumps({"name": name, "cols": [list(c) for c in m.cols], **more, **_rows_of(spark, path)}))
 
 
 def append_rows(m: BigMatrix, path: str) -> None:
     """More rows of the same columns; row ids must be new."""
+    spark = m.df.sparkSession
+    manifest = read_manifest(spark, path)
+    if len(manifest["cols"]) != m.n_cols:
+        raise ValueError(f"{m.n_cols} columns, not {len(manifest['cols'])}")
     m.df.select("row_idx", "v").repartitionByRange("row_idx").sortWithinPartitions("row_idx").write.mode("append").parquet(f"{path}/data")
+    write_text(spark, f"{path}/manifest.json", json.dumps(manifest | _rows_of(spark, path)))
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    return json.loads(read_text(spark, f"{path}/manifest.json"))
 
 
 def load_output(spark: SparkSession, path: str) -> BigMatrix:
-    manifest = json.loads(read_text(spark, f"{path}/manifest.json"))
-    return BigMatrix(spark.read.parquet(f"{path}/data"), tuple((i, n) for i, n in manifest["cols"]))
+    manifest = read_manifest(spark, path)
+    return BigMatrix(spark.read.schema(SCHEMA).parquet(f"{path}/data"), tuple((i, n) for i, n in manifest["cols"]))
 
 
 def export_rows(m: BigMatrix, path: str, start: int, stop: int, col_ids=()) -> None:

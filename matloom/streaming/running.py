@@ -10,7 +10,9 @@ from ..operators.stats import column_stats
 
 
 def merge_stats(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("col").agg(F.sum("cnt").alias("cnt"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("sum").alias("sum"))
+    """Statistics of parts put together; a part's NaN stays, as it does within a batch."""
+    least = F.when(F.max(F.isnan("min")), float("nan")).otherwise(F.min("min"))  # NaN is the greatest number to Spark
+    return parts.groupBy("col").agg(F.sum("cnt").alias("cnt"), least.alias("min"), F.max("max").alias("max"), F.sum("sum").alias("sum"))
 
 
 def keep_column_stats(stream: DataFrame, path: str, checkpoint: str, n_cols: int):

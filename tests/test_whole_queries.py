@@ -33,5 +33,5 @@ def test_coverage_of_all_bins_by_brute_force(spark):
 def test_regions_of_all_events_by_brute_force(spark):
     rows = engine.points_g(spark, FOLDER).collect()
     expected = Counter((p["event_id"], q["event_id"]) for p in rows for q in rows if p["ref"] == q["ref"] and q["start"] <= p["start"] < q["end"])
-    got = Counter((r["event_id"], r["region"]) for r in engine.queries()["regions_of_points_all_events"](spark, FOLDER).collect())
+    got = Counter((r["event_id"], r["region"]) for r in engine.queries()["regions_of_points"](spark, FOLDER).collect())
     assert got == expected and len(expected) >= len(rows)
