@@ -52,7 +52,9 @@ def f_summary(fs: DataFrame) -> DataFrame:
     """Mean and median F over the rows that have one; the median by ranks, in one row like the mean."""
     ok = fs.where(~F.isnan("f"))
     middle = quantiles(ok.select(F.lit(0).alias("col"), F.col("f").alias("value")), [0.5]).agg(F.max("value").alias("median_f"))
-    return ok.agg(F.avg("f").alias("mean_f"), F.count("*").alias("n")).crossJoin(middle).select("mean_f", "median_f", "n")
+    mean = ok.agg(F.avg("f").alias("mean_f"), F.count("*").alias("n")).select("mean_f", F.lit(None).cast("double").alias("median_f"), "n")
+    both = mean.unionByName(middle.select(F.lit(None).cast("double").alias("mean_f"), "median_f", F.lit(None).cast("bigint").alias("n")))
+    return both.agg(F.max("mean_f").alias("mean_f"), F.max("median_f").alias("median_f"), F.max("n").alias("n"))
 
 
 def welch(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import re
 import struct
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
@@ -169,32 +170,155 @@ def bam_references(path: str) -> list[tuple[str, int]]:
         return bam_header(g)
 
 
-def read_bam(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(sample, ref, start, end, is_mapped), a task per file; end is where the reference-consuming operations end."""
+def _numbers(data: np.ndarray, at: np.ndarray, kind: str) -> np.ndarray:
+    """Little-endian numbers at any places of a byte array."""
+    return np.ascontiguousarray(data[at[:, None] + np.arange(np.dtype(kind).itemsize)]).view(kind)[:, 0]
+
+
+def _parse_records(data: bytes, begin: int, limit: int) -> tuple[np.ndarray, ...]:
+    """(ref, pos, end, flag, place after) of the whole records that start in [begin, limit)."""
+    starts, at, n = [], begin, len(data)
+    while at < limit and at + 4 <= n:
+        later = at + 4 + int.from_bytes(data[at : at + 4], "little")
+        if later > n:
+            break
+        starts.append(at + 4)
+        at = later
+    raw, place = np.frombuffer(data, np.uint8), np.array(starts, np.int64)
+    ref, pos = _numbers(raw, place, "<i4").astype(np.int64), _numbers(raw, place + 4, "<i4").astype(np.int64)
+    ops, flag = _numbers(raw, place + 12, "<u2").astype(np.int64), _numbers(raw, place + 14, "<u2").astype(np.int64)
+    first = np.cumsum(ops) - ops
+    inside = np.arange(int(ops.sum())) - np.repeat(first, ops)
+    op = _numbers(raw, np.repeat(place + 32 + raw[place + 8], ops) + 4 * inside, "<u4").astype(np.int64)
+    size = np.where(np.isin(op & 15, (0, 2, 3, 7, 8)), op >> 4, 0)  # those that go along the reference
+    total = np.concatenate([[0], np.cumsum(size)])
+    return ref, pos, pos + total[first + ops] - total[first], flag, at
+
+
+def _first_record(data: bytes, n_refs: int, chain: int = 8) -> int:
+    """The first place at which a chain of plausible records starts; the end of data if there is none."""
+
+    def next_of(at: int) -> int:
+        if at + 36 > len(data):
+            return len(data) + 1 if at <= len(data) else -1
+        size, ref, pos, l_name, _, _, n_ops, _, l_seq, mate, mate_pos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
+        fits = 32 <= size and -1 <= ref < n_refs and -1 <= mate < n_refs and pos >= -1 and mate_pos >= -1 and l_name >= 1 and l_seq >= 0
+        if not fits or 32 + l_name + 4 * n_ops + (l_seq + 1) // 2 + l_seq > size:
+            return -1
+        name_end = at + 36 + l_name - 1
+        if name_end < len(data) and data[name_end] != 0:
+            return -1
+        return at + 4 + size
+
+    for at in range(len(data)):
+        place = at
+        for _ in range(chain):
+            place = next_of(place)
+            if place < 0 or place >= len(data):
+                break
+        if place >= 0:
+            return at
+    return len(data)
+
+
+_BLOCK = re.compile(rb"\x1f\x8b\x08\x04.{6}\x06\x00BC\x02\x00", re.S)
+
+
+def _zipped_blocks(f, begin: int, size: int) -> Iterator[tuple[int, bytes]]:
+    """(place, content) of the BGZF blocks from the first that starts at ``begin`` or after it."""
+    at, window = begin, b""
+    if begin:
+        window = f.read_at(min(1 << 17, size - begin), begin)
+        for m in _BLOCK.finditer(window):
+            after = m.start() + int.from_bytes(window[m.start() + 16 : m.start() + 18], "little") + 1
+            if begin + after == size or _BLOCK.match(window, after):  # a block that is followed by one, or by nothing
+                at = begin + m.start()
+                break
+        else:
+            return
+    while at + 18 <= size:
+        head = f.read_at(18, at)
+        if not _BLOCK.match(head):
+            raise ValueError(f"no block at {at}")
+        n = int.from_bytes(head[16:18], "little") + 1
+        yield at, zlib.decompress(f.read_at(n - 18, at + 18)[:-8], -15)
+        at += n
+
+
+def _split_of(path: str, begin: int, end: int, size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ref, pos, end, flag) of the records that start in the blocks of a file that start in [begin, end)."""
+    n_refs = len(bam_references(path))
+    fs, local = _fs(path)
+    with fs.open_input_file(local) as f:
+        data, base, limit, started = b"", 0, 0, False
+        for at, content in _zipped_blocks(f, begin, size):
+            own = at < end
+            data += content
+            limit += len(content) if own else 0
+            if own and limit < 4 << 20:
+                continue
+            if not started:
+                base = _header_size(data) if begin == 0 else _first_record(data, n_refs)
+                started = True
+            *found, after = _parse_records(data, base, limit)
+            yield tuple(found)
+            if not own and after >= limit:
+                return
+            data, base, limit = data[after:], 0, max(limit - after, 0)
+        if not started:
+            base = (_header_size(data) if begin == 0 else _first_record(data, n_refs)) if data else 0
+        if base < limit:
+            yield _parse_records(data, base, limit)[:4]
+
+
+def _header_size(data: bytes) -> int:
+    import io
+
+    stream = io.BytesIO(data)
+    bam_header(stream)
+    return stream.tell()
+
+
+def _whole_file(path: str) -> Iterator[tuple[np.ndarray, ...]]:
+    fs, local = _fs(path)
+    with fs.open_input_stream(local, compression=None) as f, gzip.open(f) as g:
+        bam_header(g)
+        data = b""
+        while piece := g.read(8 << 20):
+            data += piece
+            *found, after = _parse_records(data, 0, len(data))
+            data = data[after:]
+            yield tuple(found)
+
+
+def read_bam(spark: SparkSession, paths: Sequence[str], split_bytes: int = 64 << 20) -> DataFrame:
+    """(sample, ref, start, end, is_mapped); end is where the reference-consuming operations end.
+
+    Files of BGZF blocks are read in splits of ``split_bytes``: a split starts at the first block in
+    it, and there at the first place from which plausible records follow one another. Other gzip
+    files are read by a task each.
+    """
+    splits: list[tuple[str, int, int, int]] = []
+    names: dict[str, list[str]] = {}
+    for path in paths:
+        names[path] = [n for n, _ in bam_references(path)]
+        fs, local = _fs(path)
+        size = fs.get_file_info(local).size
+        with fs.open_input_file(local) as f:
+            blocks = bool(_BLOCK.match(f.read_at(18, 0)))
+        step = split_bytes if blocks else max(size, 1)
+        splits += [(path, a, min(a + step, size), size if blocks else -1) for a in range(0, size, step)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sample", "ref", "start", "end", "is_mapped"]
         for b in batches:
-            for path in b.column(0).to_pylist():
-                fs, local = _fs(path)
-                rows: list[tuple] = []
-                with fs.open_input_stream(local, compression=None) as f, gzip.open(f) as g:
-                    refs = bam_header(g)
-                    while head := g.read(4):
-                        rec = g.read(struct.unpack("<i", head)[0])
-                        ref, pos, l_name, _, _, n_cigar, flag = struct.unpack_from("<iiBBHHH", rec)
-                        ops = np.frombuffer(rec, "<u4", n_cigar, 32 + l_name)
-                        span = int(sum(o >> 4 for o in ops.tolist() if (o & 15) in (0, 2, 3, 7, 8)))
-                        rows.append((path, refs[ref][0] if ref >= 0 else None, pos, pos + span, not flag & 4))
-                        if len(rows) >= 50_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-                            rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
-    return files.mapInArrow(run, "sample string, ref string, start bigint, end bigint, is_mapped boolean")
+            for path, begin, end, size in zip(*(b.column(c).to_pylist() for c in range(4))):
+                refs = np.array([*names[path], None], object)  # the last for reads without a reference
+                for ref, pos, stop, flag in _whole_file(path) if size < 0 else _split_of(path, begin, end, size):
+                    columns = [pa.array([path] * len(ref), pa.string()), pa.array(refs[ref], pa.string()), pa.array(pos), pa.array(stop), pa.array(flag & 4 == 0)]
+                    yield pa.RecordBatch.from_arrays(columns, ["sample", "ref", "start", "end", "is_mapped"])
+
+    plan = spark.createDataFrame(splits, "path string, begin bigint, stop bigint, size bigint").repartition(max(1, min(len(splits), 4096)))
+    return plan.mapInArrow(run, "sample string, ref string, start bigint, end bigint, is_mapped boolean")
 
 
 def bam_matrix(spark: SparkSession, listing: str, width: int, refs: Sequence[str] | None = None, paths: Sequence[str] | None = None) -> BigMatrix:

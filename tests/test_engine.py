@@ -320,3 +320,122 @@ def test_stream_statistics(spark, tmp_path, x):
     q.stop()
     got = {r["col"]: r for r in running.current_stats(spark, str(tmp_path / "out")).collect()}
     assert got[2]["cnt"] == 60 and got[2]["sum"] == pytest.approx(x[:, 2].sum())
+
+
+def test_stream_statistics_keep_nan(spark):
+    kind = "col int, cnt bigint, min double, max double, sum double"
+    parts = spark.createDataFrame([(0, 2, float("nan"), float("nan"), float("nan")), (0, 3, 1.0, 4.0, 6.0), (1, 1, 2.0, 2.0, 2.0)], kind)
+    got = {r["col"]: r for r in running.merge_stats(parts).collect()}
+    assert all(np.isnan(got[0][c]) for c in ("min", "max", "sum")) and got[0]["cnt"] == 5 and got[1]["min"] == 2.0
+
+
+def test_quantiles_of_ties_and_nan(spark):
+    rng = np.random.default_rng(5)
+    columns = {0: rng.integers(0, 4, 501).astype(float), 1: rng.normal(size=200), 2: np.array([7.0])}
+    rows = [(c, float(v)) for c, x in columns.items() for v in x] + [(1, float("nan")), (2, None)]
+    at = [0.0, 0.1, 0.5, 0.503, 1.0]
+    got = {(r["col"], r["fraction"]): r["value"] for r in stats.quantiles(spark.createDataFrame(rows, "col int, value double"), at).collect()}
+    assert len(got) == 15 and all(got[c, f] == pytest.approx(np.quantile(x, f)) for c, x in columns.items() for f in at)
+
+
+def test_hot_positions_in_windows(spark):
+    rng = np.random.default_rng(6)
+    pos = np.concatenate([np.full(500, 1000), rng.integers(0, 3000, 200)])
+    got = sorted((r["pos"], r["n"]) for r in bins.centred_windows(spark.createDataFrame([("a", int(p)) for p in pos], "ref string, pos bigint"), 101).collect())
+    assert got == sorted((int(p), int(((pos >= p - 50) & (pos <= p + 50)).sum())) for p in pos)
+
+
+def test_models_are_checked_when_opened(spark, planted):
+    m, groups = of(spark, np.random.default_rng(7).normal(size=(40, 6))), [[0, 1, 2], [3, 4, 5]]
+    model = factor.fit_ruvs(m, groups, known=np.array([[1, 0, 1, 0, 1, 0]]))
+    again = factor.FactorModel.from_json(model.to_json())
+    assert np.allclose(back(factor.component(m, again, "artifact", 1, 1)), back(factor.component(m, model, "artifact", 1, 1)))
+    import json
+
+    for change in ({"kind": "other"}, {"groups": [[0, 9]]}, {"groups": [[0, 1], [1]]}, {"known": [[1.0]]}, {"b": None}, {"eigenvalues": [1.0, 2.0]}):
+        with pytest.raises(ValueError):
+            factor.FactorModel.from_json(json.dumps(json.loads(model.to_json()) | change))
+    for bad in ({"which": "noise"}, {"scale": "cube"}, {"adjust": "none"}, {"columns": [9]}, {"k": 99}):
+        with pytest.raises(ValueError):
+            factor.component(m, model, **({"which": "artifact", "k": 1} | bad))
+    with pytest.raises(ValueError):
+        factor.component(m.columns([1, 2]), model, "artifact", 1)
+    unit = factor.fit_ruvg(m, adjust="zero_mean_unit_length")
+    assert unit.eigenvalues.sum() == pytest.approx(40)
+
+
+def test_catalog_writers_do_not_lose_records(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "cat")
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda k: Catalog(spark, path).create("stats", k=k), range(8)))
+    c = Catalog(spark, path)
+    assert sorted(ids) == [i for i, _ in c.list("stats")] == list(range(101, 109)) and {r["k"] for _, r in c.list("stats")} == set(range(8))
+    c.vacuum("stats")
+    assert len(c.list("stats")) == 8 and len(c._versions("stats")) == 2
+
+
+def test_alignments_to_counts(spark, tmp_path):
+    """A list of files to a matrix of counts, over the references that all have, in natural order."""
+    import gzip
+    import struct
+
+    def bam(name, refs, reads):
+        head = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", len(refs))
+        for r, n in refs:
+            head += struct.pack("<i", len(r) + 1) + r.encode() + b"\0" + struct.pack("<i", n)
+        body = b""
+        for ref, pos, length, flag in reads:
+            rec = struct.pack("<iiBBHHHiiii", ref, pos, 2, 30, 0, 1, flag, 0, -1, -1, 0) + b"r\0" + struct.pack("<I", length << 4)
+            body += struct.pack("<i", len(rec)) + rec
+        (tmp_path / name).write_bytes(gzip.compress(head + body))
+
+    bam("a.bam", [("chr10", 250), ("chr2", 120), ("chrX", 50)], [(0, 0, 10, 0), (0, 90, 40, 0), (1, 119, 1, 0), (2, 5, 5, 0), (1, 10, 10, 4)])
+    bam("b.bam", [("chr2", 120), ("chr10", 250)], [(0, 0, 10, 0), (0, 0, 10, 0), (1, 200, 40, 0), (-1, -1, 0, 4)])
+    (tmp_path / "list.txt").write_text("# files\na.bam\n" + str(tmp_path / "b.bam") + "\n")
+    m = files.load(spark, f"bams@{tmp_path}/list.txt", width=100)
+    assert [n for _, n in m.cols] == ["a.bam", "b.bam"]
+    # bins: chr2 has 0 and 1, chr10 has 2, 3 and 4
+    assert back(m).tolist() == [[0, 2], [1, 0], [1, 0], [1, 0], [0, 1]]
+    assert back(files.load(spark, f"bams@{tmp_path}/list.txt", width=100, refs=["chr10"])).tolist() == [[1, 0], [1, 0], [0, 1]]
+    with pytest.raises(ValueError):
+        files.load(spark, f"bams@{tmp_path}/list.txt", width=100, refs=["chrX"])
+    with pytest.raises(ValueError):
+        files.load(spark, "other@x")
+    files.ALIASES["other"] = "bams"
+    try:
+        assert back(files.load(spark, f"other@{tmp_path}/list.txt", width=1000)).shape == (2, 2)
+    finally:
+        del files.ALIASES["other"]
+
+
+def test_alignments_in_splits(spark, tmp_path):
+    """However a file of blocks is split, every record is read once."""
+    import zlib
+
+    rng = np.random.default_rng(8)
+    refs = [("chr1", 100_000), ("chr2", 50_000)]
+    data, expected = b"BAM\1" + struct.pack("<i", 5) + b"@HD\n\0" + struct.pack("<i", 2), []
+    for r, n in refs:
+        data += struct.pack("<i", len(r) + 1) + r.encode() + b"\0" + struct.pack("<i", n)
+    for k in range(3000):
+        ref, pos, flag = int(rng.integers(-1, 2)), int(rng.integers(0, 40_000)), int(rng.choice([0, 4, 16]))
+        ops = [(int(n), int(o)) for n, o in zip(rng.integers(1, 60, rng.integers(0, 4)), rng.integers(0, 9, 4))]
+        name, l_seq = f"read{k}".encode() + b"\0", int(rng.integers(0, 120))
+        rec = struct.pack("<iiBBHHHiiii", ref, pos, len(name), 30, 0, len(ops), flag, l_seq, -1, -1, 0) + name
+        rec += b"".join(struct.pack("<I", n << 4 | o) for n, o in ops) + rng.integers(0, 256, (l_seq + 1) // 2 + l_seq, dtype=np.uint8).tobytes()
+        data += struct.pack("<i", len(rec)) + rec
+        expected.append((refs[ref][0] if ref >= 0 else None, pos, pos + sum(n for n, o in ops if o in (0, 2, 3, 7, 8)), not flag & 4))
+    out, at = b"", 0
+    while at <= len(data):
+        part = data[at : at + int(rng.integers(300, 3000))]
+        at += len(part) or 1
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = c.compress(part) + c.flush()
+        out += b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
+    (tmp_path / "x.bam").write_bytes(out)
+    key = lambda r: (r[0] or "", *r[1:])
+    for step in (64 << 20, 50_000, 7_000, 1_000):
+        got = [(r["ref"], r["start"], r["end"], r["is_mapped"]) for r in files.read_bam(spark, [str(tmp_path / "x.bam")], step).collect()]
+        assert sorted(got, key=key) == sorted(expected, key=key), step
