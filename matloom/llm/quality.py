@@ -27,28 +27,33 @@ STATISTICS = (
 def with_statistics(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
     """df with a column ``prefix + name`` for each of STATISTICS of whole texts; null texts are empty.
 
-    Words and lines are columns of their own, so that each is split once for all that is counted.
+    Words and lines are columns of their own, so that each is split once for all that is counted, and
+    so is the text without small letters and spaces, in whose few characters the others are counted.
     """
-    t, words, lines = (f"`{prefix}{x}`" for x in ("text", "words", "lines"))
+    t, words, lines, rest = (f"`{prefix}{x}`" for x in ("text", "words", "lines", "rest"))
     n, n_words, n_lines = f"greatest(length({t}), 1)", f"greatest(size({words}), 1)", f"greatest(size({lines}), 1)"
-    share = lambda drop: F.expr(f"(length({t}) - length(translate({t}, '{drop}', ''))) / cast({n} as double)")
+    share = lambda drop: F.expr(f"(length({rest}) - length(translate({rest}, '{drop}', ''))) / cast({n} as double)")
     values = {
         "log_chars": F.expr(f"log1p(length({t}))"),
         "chars_per_word": F.expr(f"length({t}) / cast({n_words} as double)"),
         "words_per_line": F.expr(f"size({words}) / cast({n_lines} as double)"),
         "distinct_words": F.expr(f"size(array_distinct({words})) / cast({n_words} as double)"),
-        "repeated_words": F.regexp_count(F.col(t), F.lit(r"(?<![^ \n])([^ \n]+)(?=[ \n]\1(?![^ \n]))")) / F.expr(f"cast({n_words} as double)"),
+        "repeated_words": F.regexp_count(F.col(t), F.lit(r"(?<![^ \n])([^ \n]++)(?=[ \n]\1(?![^ \n]))")) / F.expr(f"cast({n_words} as double)"),
         "distinct_lines": F.expr(f"size(array_distinct({lines})) / cast({n_lines} as double)"),
         "symbols": share("#$%&*+<=>@[]^_{|}~"),
         "pipes": share("|"),
         "exclamations": share("!"),
         "digits": share("0123456789"),
         "sentence_ends": share("."),
-        "upper": F.regexp_count(F.col(t), F.lit("\\p{Lu}")) / F.expr(f"cast({n} as double)"),
+        "upper": F.regexp_count(F.col(rest), F.lit("\\p{Lu}")) / F.expr(f"cast({n} as double)"),
     }
     df = df.withColumn(f"{prefix}text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    df = df.withColumns({f"{prefix}words": F.array_remove(F.split(F.col(t), "[ \\t\\r\\n]+"), ""), f"{prefix}lines": F.array_remove(F.split(F.col(t), "\n"), "")})
-    return df.withColumns({prefix + k: values[k] for k in STATISTICS}).drop(*(prefix + x for x in ("text", "words", "lines")))
+    df = df.withColumns({
+        f"{prefix}words": F.array_remove(F.split(F.col(t), "[ \\t\\r\\n]+"), ""),
+        f"{prefix}lines": F.array_remove(F.split(F.col(t), "\n"), ""),
+        f"{prefix}rest": F.regexp_replace(t, "[\\p{Ll} \n,]+", ""),
+    })
+    return df.withColumns({prefix + k: values[k] for k in STATISTICS}).drop(*(prefix + x for x in ("text", "words", "lines", "rest")))
 
 
 def _grow(x: np.ndarray, y: np.ndarray, depth: int, path: tuple, out: set, min_leaf: int, rng: np.random.Generator) -> None:
@@ -147,7 +152,9 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 24, d
 def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS, **options) -> RuleModel:
     """Fit on labelled rows whose crc32(id as text) mod folds is not held_fold, at most fit_rows of them.
 
-    Rows with a null id or label are not used; of rows with the same id the least label counts.
+    Rows with a null id or label are not used; of rows with the same id the least label counts, and
+    of texts with the same id the one whose statistics come first. Without rows, or without both
+    labels, the model is a constant. Other columns of both tables are not read.
     """
     known = (
         labels.select(F.col(id_col).cast("bigint").alias("_id"), F.col(label_col).cast("int").alias("_y"))
