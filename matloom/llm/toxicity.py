@@ -8,6 +8,7 @@ the risk of the unlabelled as negatives is subtracted by the class prior, and ne
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, release
+
 #: At most so many rows of each kind are used to fit; those of least hash are taken.
 FIT_POSITIVES, FIT_UNLABELLED = 4_000, 8_000
 #: A word counts as itself and by beginnings of these lengths.
@@ -89,19 +92,19 @@ class Words:
         return self.of_word[np.repeat(self.word_from[doc] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
 
 
-def nnpu_fit(positive, unlabelled, prior: float, most_features: int = 3000, steps: int = 400, rate: float = 0.05, ridge: float = 5e-4, slack: float = 0.0) -> ToxicityModel:
-    """From documents as collections of distinct words, or as strings of them between spaces.
+#: A feature has to be in so many positives to be chosen.
+LEAST_POSITIVES = 3
 
-    Minimises prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)) by Adam.
+
+def nnpu_fit(positive, unlabelled, prior: float, most_features: int = 3000, **options) -> ToxicityModel:
+    """From documents as collections of distinct words, or as strings of them between spaces, all in memory.
 
     Features are those whose rate among the positives exceeds that among the unlabelled by
     1 + log10(number of positives) times its error: the more texts, the more features are tried,
     and the fewer may enter by chance. Without positives the model is the prior alone.
     """
-    prior = min(max(prior, 1e-4), 1 - 1e-4)
-    base = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
-        return ToxicityModel({}, base)
+        return nnpu_train([], [], [], prior)
     words = Words()
     kinds = [[words.add(d.split() if isinstance(d, str) else d) for d in docs] for docs in (positive, unlabelled)]
     words.freeze()
@@ -115,17 +118,30 @@ def nnpu_fit(positive, unlabelled, prior: float, most_features: int = 3000, step
     p, u = rates[0] / n_p, rates[1] / n_u
     z = (p - u) / ((p * (1 - p) + 1 / n_p) / n_p + (u * (1 - u) + 1 / n_u) / n_u) ** 0.5
     names = list(words.feature)
-    found = np.flatnonzero((rates[0] >= 3) & (z > 1 + np.log10(n_p))).tolist()
+    found = np.flatnonzero((rates[0] >= LEAST_POSITIVES) & (z > 1 + np.log10(n_p))).tolist()
     chosen = [names[f] for f in sorted(found, key=lambda f: (-z[f], names[f]))[:most_features]]
     place = np.full(len(names), -1, np.int64)
     place[[words.feature[f] for f in chosen]] = np.arange(len(chosen))
+    lists = [[x[x >= 0] for x in (place[words.features(d)] for d in docs)] for docs in kinds]
+    return nnpu_train(chosen, *lists, prior, **options)
+
+
+def nnpu_train(chosen: list[str], positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 5e-4, slack: float = 0.0) -> ToxicityModel:
+    """The model from documents as places of chosen features; a place may be there more than once.
+
+    Minimises prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)) by Adam.
+    """
+    prior = min(max(prior, 1e-4), 1 - 1e-4)
+    base = float(np.log(prior / (1 - prior)))
+    n_p, n_u = len(positive), len(unlabelled)
+    if not n_p or not n_u:
+        return ToxicityModel({}, base)
 
     def matrix(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Places of the chosen features of all documents end to end, and the document of each."""
-        got = [x[x >= 0] for x in (place[words.features(d)] for d in docs)]
-        return np.concatenate(got), np.repeat(np.arange(len(got)), [len(g) for g in got])
+        return np.concatenate([np.zeros(0, np.int64), *docs]), np.repeat(np.arange(len(docs)), [len(g) for g in docs])
 
-    (pi, pr), (ui, ur) = matrix(kinds[0]), matrix(kinds[1])
+    (pi, pr), (ui, ur) = matrix(positive), matrix(unlabelled)
     k = len(chosen)
     w, b = np.zeros(k + 1), base
     w[k] = b
@@ -151,25 +167,36 @@ def nnpu_fit(positive, unlabelled, prior: float, most_features: int = 3000, step
     return ToxicityModel({f: float(x) for f, x in zip(chosen, w) if x}, float(w[k]))
 
 
-def _words_of(df: DataFrame) -> list[str]:
-    """Distinct words of (_id, _t) as one string per id, in the order of ids; words are taken where the texts are read."""
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1)
+        words = [" ".join(sorted(words_in(texts[k].as_py()))) for k in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string()), *batch.columns[2:]], ["_id", "words", "p", "u"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(sorted(words_in(texts[k].as_py()))) for k in range(batch.num_rows)], pa.string())], ["_id", "words"])
 
-    once = df.select("_id", "_t").mapInArrow(run, "_id bigint, words string").groupBy("_id").agg(F.min("words").alias("words"))
-    return once.orderBy("_id").toPandas()["words"].tolist()
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, p, u): in how many positives and unlabelled texts of a batch each feature is."""
+    for batch in batches:
+        p, u = Counter(), Counter()
+        for words, in_p, in_u in zip(*(batch.column(c).to_pylist() for c in ("words", "p", "u"))):
+            got = {f for w in words.split() for f in features_of(w)}
+            if in_p:
+                p.update(got)
+            if in_u:
+                u.update(got)
+        names = [*p, *(f for f in u if f not in p)]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([p[f] for f in names], pa.int64()), pa.array([u[f] for f in names], pa.int64())], ["feature", "p", "u"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", prior: float | None = None, positives: int = FIT_POSITIVES, unlabelled: int = FIT_UNLABELLED, **options) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", prior: float | None = None, positives: int = FIT_POSITIVES, unlabelled: int = FIT_UNLABELLED, most_features: int = 3000, **options) -> ToxicityModel:
     """Fit on rows whose crc32(id as text) mod folds is not held_fold.
 
     Positives are rows labelled 1; the unlabelled are rows of docs whatever their label, which is
     not looked at. The class prior is the share of 1 among the labels of these rows unless given.
-    Rows with a null id are not used. Distinct words of at most ``positives`` and ``unlabelled``
-    texts reach the driver.
+    Rows with a null id are not used, of repeated ids one text is; without positives or texts the
+    model is the prior alone. Other columns of both tables are not read. Features are counted and
+    chosen as nnpu_fit says, but where the texts are: at most ``most_features`` features, and their
+    places in at most ``positives`` and ``unlabelled`` texts, reach the driver, however long these are.
     """
     fold = lambda c: F.expr(f"{c} is not null and crc32(cast({c} as string)) % {folds} <> {held_fold}")
     known = labels.select(F.col(id_col).cast("bigint").alias("_id"), F.col(label_col).cast("int").alias("_y")).where(fold("_id")).where("_y in (0, 1)")
@@ -179,14 +206,41 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold:
     toxic = known.where("_y = 1").select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(positives)
     text = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_t")).where(fold("_id"))
     some = text.select("_id").distinct().orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(unlabelled)
-    # both sides that are sent out have a stated number of rows of one number
-    p = _words_of(text.join(F.broadcast(toxic), "_id").select("_id", "_t"))
-    u = _words_of(text.join(F.broadcast(some), "_id").select("_id", "_t"))
-    return nnpu_fit(p, u, prior, **options)
+    both = toxic.select("_id", F.lit(1).alias("p"), F.lit(0).alias("u")).unionByName(some.select("_id", F.lit(0).alias("p"), F.lit(1).alias("u")))
+    wanted = F.broadcast(both.groupBy("_id").agg(F.max("p").alias("p"), F.max("u").alias("u")))  # a stated number of rows of three numbers
+    met = text.join(wanted, "_id").mapInArrow(_words_of, "_id bigint, words string, p int, u int")
+    met = materialize(met.groupBy("_id").agg(F.min("words").alias("words"), F.max("p").alias("p"), F.max("u").alias("u")), "toxicity-words")
+    n = met.agg(F.sum("p").alias("p"), F.sum("u").alias("u")).first()
+    n_p, n_u = n["p"] or 0, n["u"] or 0
+    if not n_p or not n_u:
+        release(met)
+        return nnpu_train([], [], [], prior)
+    counts = met.select("words", "p", "u").mapInArrow(_counted, "feature string, p bigint, u bigint").groupBy("feature").agg(F.sum("p").alias("n_p"), F.sum("u").alias("n_u"))
+    rates = counts.where(F.col("n_p") >= LEAST_POSITIVES).select("feature", (F.col("n_p") / n_p).alias("p"), (F.col("n_u") / n_u).alias("u"))
+    z = F.expr(f"(p - u) / sqrt((p * (1 - p) + 1D / {n_p}) / {n_p} + (u * (1 - u) + 1D / {n_u}) / {n_u})")
+    best = rates.select("feature", z.alias("z")).where(F.col("z") > 1 + float(np.log10(n_p))).orderBy(F.desc("z"), "feature").limit(most_features)
+    chosen = [r["feature"] for r in best.collect()]
+    place = {f: k for k, f in enumerate(chosen)}
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[place[f] for w in words.split() for f in features_of(w) if f in place] for words in batch.column(1).to_pylist()]
+            sets = [np.unique(r, return_counts=True) if r else ([], []) for r in rows]
+            lists = [pa.array([list(map(int, s[k])) for s in sets], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *lists], ["p", "u", "places", "times"])
+
+    rows = met.orderBy("_id").select("_id", "words", "p", "u").mapInArrow(found, "p int, u int, places array<int>, times array<int>").collect()
+    release(met)
+    lists = [[np.repeat(np.array(r["places"], np.int64), r["times"]) for r in rows if r[k]] for k in ("p", "u")]
+    return nnpu_train(chosen, *lists, prior, **options)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) per row from whole texts; a text without words, like null, gets the bias alone."""
+    """(id, score) per row from whole texts; a text without words, like null, gets the bias alone.
+
+    Rows with null or repeated ids are scored like others, an empty table gives no rows, and other
+    columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
