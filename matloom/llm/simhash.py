@@ -15,6 +15,7 @@ are dealt by samples of the bits, as many as the wanted recall takes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -52,12 +53,14 @@ def fold_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingle_hashes(text: bytes, width: int, seed: int) -> list[int]:
+#: Longer texts are hashed in segments of so many bytes.
+SEGMENT = 1 << 22
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _hashes(words: list[bytes], width: int, seed: int) -> list[int]:
     import xxhash
 
-    words = text.lower().split()  # on bytes: A-Z only, and splits at 0x20 and 0x09-0x0D
-    if not words:
-        return []
     joined = b" ".join(words)
     if len(words) <= width:
         return [xxhash.xxh64_intdigest(joined, seed)]
@@ -66,23 +69,83 @@ def shingle_hashes(text: bytes, width: int, seed: int) -> list[int]:
     return list(map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in zip(starts, ends[width - 1 :].tolist())], repeat(seed)))
 
 
+def shingle_hashes(text: bytes, width: int, seed: int) -> list[int]:
+    words = text.lower().split()  # on bytes: A-Z only, and splits at 0x20 and 0x09-0x0D
+    return _hashes(words, width, seed) if words else []
+
+
+def segment_hashes(text: bytes, width: int, seed: int) -> Iterator[list[int]]:
+    """shingle_hashes of a long text, a segment of it at a time."""
+    begin, held, any_yet = 0, [], False
+    while begin < len(text):
+        cut = _SPACE.search(text, begin + SEGMENT)
+        end = cut.start() if cut else len(text)
+        words = held + text[begin:end].lower().split()
+        begin = end
+        if len(words) >= width:
+            yield _hashes(words, width, seed)
+            any_yet, words = True, words[len(words) - width + 1 :]
+        held = words
+    if held and not any_yet:
+        yield _hashes(held, width, seed)
+
+
+def _spread(h: np.ndarray, lane: int) -> np.ndarray:
+    """Another 64-bit hash of each hash (the finaliser of splitmix64)."""
+    if not lane:
+        return h
+    with np.errstate(over="ignore"):
+        z = h + np.uint64(lane * 0x9E3779B97F4A7C15 % 2**64)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def folded(texts: pa.Array, width: int, seed: int, words: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of shingles, and fingerprints (text, word), of a column of texts.
+
+    Hashes are held of a bounded number of texts, and of a bounded part of a long one.
+    """
+    counts, out = np.zeros(len(texts), np.int64), np.zeros((len(texts), words), np.uint64)
+    pending: list[int] = []
+    first = 0
+
+    def fold(end: int) -> None:
+        h = np.array(pending, np.uint64)
+        for k in range(words):
+            out[first:end, k] = fold_bits(_spread(h, k), counts[first:end])
+        pending.clear()
+
+    for i in range(len(texts)):
+        text = texts[i].as_py()
+        if text and len(text) > SEGMENT:
+            fold(i)
+            ones = np.zeros((words, 64), np.int64)
+            for part in segment_hashes(text, width, seed):
+                h = np.array(part, np.uint64)
+                counts[i] += len(h)
+                for a in range(0, len(h), 65536):
+                    for k in range(words):
+                        ones[k] += np.unpackbits(_spread(h[a : a + 65536], k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            out[i] = ((2 * ones > counts[i]).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
+            first = i + 1
+            continue
+        h = shingle_hashes(text, width, seed) if text else []
+        counts[i] = len(h)
+        pending.extend(h)
+        if len(pending) > 500_000:
+            fold(i + 1)
+            first = i + 1
+    fold(len(texts))
+    return counts, out
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp BIGINT) per row; null and wordless texts have fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done, counts, folded, pending = 0, [], [], []
-            texts = batch.column(1)
-            while done < batch.num_rows:  # in slices, so that hashes take bounded memory
-                t = texts[done].as_py()
-                h = shingle_hashes(t, width, seed) if t else []
-                pending.extend(h)
-                counts.append(len(h))
-                done += 1
-                if len(pending) > 500_000 or done == batch.num_rows:
-                    folded.append(fold_bits(np.array(pending, np.uint64), np.array(counts, np.int64)))
-                    counts, pending = [], []
-            fp = np.concatenate(folded) if folded else np.zeros(0, np.uint64)
+            fp = folded(batch.column(1), width, seed)[1][:, 0]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -340,23 +403,6 @@ def sampled_masks(n: int, similarity: float, words: int = 4, recall: float = 0.9
     return out.view(np.int64)
 
 
-def _spread(h: np.ndarray, lane: int) -> np.ndarray:
-    """Another 64-bit hash of each hash (the finaliser of splitmix64)."""
-    if not lane:
-        return h
-    with np.errstate(over="ignore"):
-        z = h + np.uint64(lane * 0x9E3779B97F4A7C15 % 2**64)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
-
-
-def wide_fingerprint(text: bytes | None, width: int = 5, words: int = 4, seed: int = 42) -> tuple[int, list[int]]:
-    """Number of shingles, and the words of the fingerprint; zeros if there are none."""
-    h = np.array(shingle_hashes(text, width, seed) if text else [], np.uint64)
-    return len(h), [int(fold_bits(_spread(h, k), np.array([len(h)]))[0]) for k in range(words)]
-
-
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, words: int = 4, seed: int = 42, shard_rows: int = 1024) -> DataFrame:
     """(doc_id, k1, k2, again) of the rows that are not the first of their group of near copies, and of repeated rows.
 
@@ -371,10 +417,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(3)
-            got = [wide_fingerprint(texts[k].as_py(), width, words, seed) for k in range(batch.num_rows)]
-            fp = np.array([f for _, f in got], np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([n > 0 for n, _ in got], pa.bool_()), *(pa.array(fp[:, k]) for k in range(words))], ["doc_id", "k1", "k2", "worded", *names])
+            n, fp = folded(batch.column(3), width, seed, words)
+            fp = np.ascontiguousarray(fp.T).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n > 0), *(pa.array(f) for f in fp)], ["doc_id", "k1", "k2", "worded", *names])
 
     text, doc = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")), F.col(quoted(id_col)).cast("bigint")
     slim = docs.select(doc.alias("doc_id"), F.xxhash64(doc, text).alias("k1"), F.xxhash64(text, F.lit(1), doc).alias("k2"), text.cast("binary").alias("text"))
