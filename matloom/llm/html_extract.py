@@ -1,10 +1,9 @@
 """Main text of web pages: boosted trees over DOM-node features, decoded along the tree.
 
 Every element gets statistics of its subtree, its attribute tokens, its depth and its siblings;
-boosted regression trees turn them into the odds that the element belongs to the article. Decoding
-goes from the root down: the choice for an element is that of the best consistent labelling of its
-subtree, so no descendant of a dropped element is kept and none of a kept block contradicts it. The
-trees are grown here, on pages made by a rule, whose article is known.
+boosted regression trees turn them into the odds that it belongs to the article if all of its
+ancestors do. Decoding goes from the root down, so that no descendant of a dropped element is kept.
+The trees are grown here, on pages made by a rule, whose article is known.
 """
 
 from __future__ import annotations
@@ -118,7 +117,7 @@ FEATURES = [
     "depth", "log_chars", "log_own_chars", "link_share", "tags_per_char", "child_count", "text_children", "stops_per_char", "mean_word", "control_count",
     "sibling_position", "sibling_count", "same_tag_siblings", "share_of_parent", "share_of_page", "prev_chars", "next_chars", "p_children", "li_children",
     "bad_token", "good_token", "up_bad", "up_good", "up_article", "up_boiler", "hidden", "seen_article", "year_or_copy", "heading", "parent_tag", "tag",
-    "prose_share", "up_prose_share", "has_h1", "h1_before", "largest_up", "children_alike", "prose_of_parent",
+    "prose_share", "up_prose_share", "has_h1", "h1_before", "largest_up", "children_alike", "prose_of_parent", "own_boiler", "paragraph", "bad_children", "items_with_parts",
 ]
 _BOILER_TAGS = frozenset("nav footer aside form header button select menu dialog label".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -175,7 +174,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     log_own = np.log1p(own).tolist()
     # of each element: place, siblings, siblings of its tag, size of the one before and after, p and li among them
     beside: list = [(0, 0, 0, 0.0, 0.0, 0, 0)] * n
-    alike_below = [0.0] * n
+    alike_below, bad_below, parts_below = [0] * n, [0] * n, [0] * n
     for k, node in enumerate(nodes):
         if len(node.children) > len(texts[k]):
             kids = [c for c in node.children if not isinstance(c, str)]
@@ -185,9 +184,11 @@ def features(nodes: list[Node]) -> np.ndarray:
             p_kids, li_kids = kinds.get("p", 0), kinds.get("li", 0)
             classes: dict[str, int] = {}
             for c in kids:
-                if nodes[c].attributes and nodes[c].tag not in ("p", "td", "tr", "li", "a"):
+                if nodes[c].attributes and nodes[c].tag not in ("p", "td", "tr", "a"):
                     classes[nodes[c].attributes] = classes.get(nodes[c].attributes, 0) + 1
             alike_below[k] = max(classes.values(), default=0)
+            bad_below[k] = sum(not _BAD.isdisjoint(tokens[c][0]) for c in kids)
+            parts_below[k] = sum(sum(nodes[d].tag in BLOCK for d in nodes[c].children if not isinstance(d, str)) > 0 for c in kids if nodes[c].tag == "li")
             for i, c in enumerate(kids):
                 beside[c] = (i, len(kids), kinds[nodes[c].tag], log_chars[kids[i - 1]] if i else 0.0, log_chars[kids[i + 1]] if i + 1 < len(kids) else 0.0, p_kids, li_kids)
     rows = []
@@ -215,6 +216,7 @@ def features(nodes: list[Node]) -> np.ndarray:
             bad, good, above[0], above[1], above[2], above[3], hidden, seen_article, "©" in first or "(c)" in first or "all rights" in first,
             node.tag in _HEADINGS, _TAG_NUMBER.get(nodes[p].tag, -1) if p >= 0 else -1, _TAG_NUMBER.get(node.tag, -1),
             prose[k] / every_prose, prose[p] / every_prose if p >= 0 else 1, h1[k], seen_h1, largest_up[k], alike_below[k], prose[k] / (prose[p] or 1) if p >= 0 else 1,
+            node.tag in _BOILER_TAGS, node.tag == "p", bad_below[k], parts_below[k],
         ))
         seen_h1 = seen_h1 or node.tag == "h1"
     return np.array(rows, float)
@@ -241,7 +243,7 @@ class BoostedTrees:
         return total
 
 
-def grow_trees(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.3, least: float = 3.0, bins: int = 32, share: float = 0.4, seed: int = 5) -> BoostedTrees:
+def grow_trees(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.3, least: float = 3.0, bins: int = 32, share: float = 0.3, seed: int = 5) -> BoostedTrees:
     """Gradient boosting with Newton leaves for the logistic loss, on quantile bins, each tree on a random share of the rows."""
     rng = np.random.default_rng(seed)
     cuts = [np.unique(np.quantile(np.unique(c), np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for c in x.T]
@@ -308,7 +310,9 @@ def made_page(seed: int) -> str:
 
     def token() -> str:
         kind = rng.random()
-        return rng.choice(BOILERPLATE_TOKENS) if kind < 0.7 else rng.choice(_OTHER_NAMES) if kind < 0.9 else nonsense()
+        if kind > 0.85:
+            return rng.choice(CONTENT_TOKENS) + rng.choice(["__", "-", "_"]) + rng.choice(BOILERPLATE_TOKENS)
+        return rng.choice(BOILERPLATE_TOKENS) if kind < 0.55 else rng.choice(_OTHER_NAMES) if kind < 0.75 else nonsense()
 
     def name_kept(often: float) -> str:
         """Some name, or mostly none, of an element of the article."""
@@ -368,7 +372,7 @@ def made_page(seed: int) -> str:
         if kind == 5:
             return comments()
         if kind == 6:
-            return f"<{(t := rng.choice(['div', 'p', 'section']))}{drop} class='{rng.choice(['cookie-notice', 'notice', 'consent banner', 'alert', 'gdpr', 'cookie-banner', 'disclaimer', 'notification'])}'>{text}</{t}>"
+            return f"<{(t := rng.choice(['div', 'div', 'div', 'p', 'section', 'section']))}{drop} class='{rng.choice(['cookie-notice', 'notice', 'consent banner', 'alert', 'gdpr', 'cookie-banner', 'disclaimer', 'notification'])}'>{text}</{t}>"
         if kind == 7:
             return f"<div{drop} class='{token()}{rng.choice(['', '-box', '-wrap', '_2', ' large'])}'>{rng.choice([text, f'<p{drop}>{text}</p>', f'<p{drop}>{text}</p><p{drop}>{text}</p>', f'<ul{drop}>{links(4)}</ul>', f'<a{drop} href=x>{text}</a>'])}</div>"
         if kind == 8:
@@ -378,7 +382,7 @@ def made_page(seed: int) -> str:
         if kind == 10:
             return f"<div{drop} class='{rng.choice(['ad', 'ads', 'advert', 'sponsored', 'promo', 'ad-slot'])}'>{text}</div>"
         if kind == 11:
-            return f"<div{drop}{rng.choice(['', attribute(token())])}>" + rng.choice([" | ", " ", ""]).join(f"<a{drop} href='/{k}'>{_words(rng, rng.randint(1, 2)).rstrip('.')}</a>" for k in range(rng.randint(3, 8))) + "</div>"
+            return f"<div{drop}{rng.choice(['', attribute(token())])}>" + rng.choice([" | ", " ", ""]).join(f"<a{drop} href='/{k}'>{_words(rng, rng.randint(1, 2)).rstrip('.')}</a>" for k in range(rng.randint(2, 8))) + "</div>"
         if kind == 12:
             return f"<div{drop}{attribute(token())}><input{drop} name=q><button{drop}>{_words(rng, 1)}</button> {text}</div>"
         return f"<div{drop} {rng.choice(['id', 'class'])}='{rng.choice(['sidebar', 'related', 'newsletter', 'share', 'author-box', 'tags', 'breadcrumbs', 'popup', 'menu', 'footer', 'header'])}'><p{drop}>{text}</p></div>"
@@ -390,19 +394,24 @@ def made_page(seed: int) -> str:
         inside.append(f"<{(t := rng.choice(['header', 'header', 'hgroup', 'div']))}{keep}{name_kept(0.3)}>{head}{lead}</{t}>" if rng.random() < 0.25 else head)
     for _ in range(rng.choice([1, 2, 3, 5, 8, 15])):
         inside.append(paragraph())
-        if rng.random() < 0.06:
+        if rng.random() < 0.1:
             inside.append(boiler())
-    if rng.random() < 0.05:  # a page without an article
+    if rng.random() < 0.02:  # a page without an article
         return f"<html><head><title>{_words(rng, 3)}</title></head><body>" + "".join(boiler() for _ in range(rng.randint(1, 5))) + "</body></html>"
     container = rng.choice(["article"] * 6 + ["main", "div class='content'", "div id='main'", "div class='post-body'", "div class='entry-content'", "section class='story'", "div"])
     tag, name = container.split()[0], name_kept(0.25) if " " not in container else ""
     body = "".join(inside)
-    if rng.random() < 0.2 and len(inside) > 2:  # the article's text in a part of its own
-        part, at = rng.choice(["section", "div"]), rng.randint(0, 1)
-        body = "".join(inside[:at]) + f"<{part}{keep}{name_kept(0.7)}>" + "".join(inside[at:]) + f"</{part}>"
-    article = f"<{container}{keep}{name}>{body}</{tag}>"
-    if tag != "main" and rng.random() < 0.2:
-        article = f"<main{keep}{name_kept(0.2)}>{article}{boiler() if rng.random() < 0.4 else ''}</main>"
+    if rng.random() < 0.25 and len(inside) > 2:  # the article's text in a part of its own
+        part, at = rng.choice(["section", "div"]), rng.choice([0, 1, 1, 1])
+        body = "".join(inside[:at]) + f"<{part}{keep}{attribute(misleading()) if rng.random() < 0.5 else name_kept(0.4)}>" + "".join(inside[at:]) + f"</{part}>"
+    elif rng.random() < 0.15 and len(inside) > 2:  # or in several parts
+        part, name_of, cut = rng.choice(["section", "section", "div"]), name_kept(0.5), rng.randint(1, 3)
+        parts = [f"<{part}{keep}{name_of}><h2{keep}>{_words(rng, rng.randint(1, 5))}</h2>{''.join(inside[a : a + cut])}</{part}>" for a in range(1, len(inside), cut)]
+        body = inside[0] + "".join(parts)
+    close = f"</{tag}>" if rng.random() < 0.95 else ""  # else what follows is inside of it
+    article = f"<{container}{keep}{name}>{body}{close}"
+    if tag != "main" and rng.random() < 0.25:
+        article = f"<main{keep}{name_kept(0.2)}>{article}{rng.choice(['', boiler(), comments(), boiler() + comments()])}</main>"
     before, after = [boiler() for _ in range(rng.randint(0, 4))], [boiler() for _ in range(rng.randint(0, 4))]
     if rng.random() < 0.08:  # a layout table: a menu beside the article
         menu = rng.choice([f"<ul{drop}>{links(rng.randint(2, 6))}</ul>", " ".join(f"<a{drop} href='/{k}'>{_words(rng, 1).rstrip('.')}</a>" for k in range(rng.randint(2, 6))), " ".join(_words(rng, 1).rstrip(".") for _ in range(rng.randint(2, 5)))])
@@ -422,14 +431,24 @@ _MARK = re.compile(r'data-k="([01])"')
 
 
 @functools.lru_cache(maxsize=4)
-def trained(pages: int = 3000, seed: int = 11) -> BoostedTrees:
-    """Trees grown on made pages: seconds of numpy, the same everywhere."""
+def trained(pages: int = 5000, seed: int = 11) -> BoostedTrees:
+    """Trees grown on made pages: seconds of numpy, the same everywhere.
+
+    Elements below dropped ones are left out: the odds are those of an element whose ancestors are
+    all kept, which is where decoding asks for them.
+    """
     xs, ys = [], []
     for k in range(pages):
         nodes = parse(made_page(seed * 100_000 + k))
-        known = [(i, m) for i, node in enumerate(nodes) if (m := _MARK.search(node.attributes))]
-        xs.append(features(nodes)[[i for i, _ in known]])
-        ys.append(np.array([m[1] == "1" for _, m in known], float))
+        label: list[bool | None] = []
+        open_ = []
+        for node in nodes:
+            m = _MARK.search(node.attributes)
+            open_.append(node.parent < 0 or open_[node.parent] and label[node.parent] is not False)
+            label.append(None if m is None else m[1] == "1")
+        rows = [i for i, y in enumerate(label) if y is not None and open_[i]]
+        xs.append(features(nodes)[rows])
+        ys.append(np.array([label[i] for i in rows], float))
     return grow_trees(np.concatenate(xs), np.concatenate(ys), trees=80, depth=5)
 
 
@@ -437,25 +456,14 @@ def trained(pages: int = 3000, seed: int = 11) -> BoostedTrees:
 
 
 def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
-    """The most likely labels in which no dropped element has a kept descendant.
+    """Labels in which no dropped element has a kept descendant: from the root down, each by its own odds.
 
-    best[k] is the greatest sum of log odds over the subtree of k if k may be kept; keeping k earns
-    its own odds and the best of each child, dropping it earns nothing. Structure above the body
-    is always passed through, and what is neither text nor an ancestor of text has no say.
+    The odds are those of an element all of whose ancestors are kept, so that their product along a
+    path is the chance that its last element is kept. Structure above the body is always passed through.
     """
-    n = len(nodes)
-    gain = np.zeros(n)
-    for k in range(n - 1, -1, -1):
-        node = nodes[k]
-        own = sum(len(c) for c in node.children if isinstance(c, str))
-        gain[k] += odds[k] * (1 + np.log1p(own) / 2)
-        if node.tag in ("", "html", "body"):
-            gain[k] = max(gain[k], 1e-9)
-        if node.parent >= 0 and gain[k] > 0:
-            gain[node.parent] += gain[k]
-    kept = np.zeros(n, bool)
+    kept = np.zeros(len(nodes), bool)
     for k, node in enumerate(nodes):
-        kept[k] = (node.parent < 0 or kept[node.parent]) and (gain[k] > 0 or node.parent < 0)
+        kept[k] = node.parent < 0 or kept[node.parent] and (odds[k] > 0 or node.tag in ("html", "body"))
     return kept
 
 

@@ -31,6 +31,16 @@ CASES = [
     ("hgroup with subtitle", f'<body>{NAV}<article><header><h1>The headline</h1><p>{P3}</p></header><p>{P1}</p><p>{P2}</p></article>{FOOT}</body>', f"The headline\n{P3}\n{P1}\n{P2}"),
     ("tags container", f'<body>{NAV}<div id="tags-page"><main><h1>The headline</h1><p>{P1}</p><p>{P2}</p></main></div>{FOOT}</body>', ALL),
     ("no article", f'<body>{NAV}{FOOT}</body>', ""),
+    ("wordpress", f'''<body class="post-template single"><div id="page" class="site"><header id="masthead" class="site-header"><p class="site-title"><a href="/">Example</a></p><nav id="site-navigation"><ul class="menu"><li class="menu-item"><a href="/">Home</a></li><li class="menu-item"><a href="/about">About</a></li></ul></nav></header><div id="content" class="site-content"><main id="main"><article id="post-12" class="post type-post status-publish hentry category-news tag-sea"><header class="entry-header"><h1 class="entry-title">The headline</h1></header><div class="entry-content"><p>{P1}</p><p>{P2}</p></div></article><div id="comments" class="comments-area"><h2 class="comments-title">2 thoughts</h2><ol class="comment-list"><li class="comment"><article class="comment-body"><div class="comment-content"><p>I was there, too, and it was not like that at all.</p></div></article></li><li class="comment"><article class="comment-body"><div class="comment-content"><p>You have not been there for years, as we all know.</p></div></article></li></ol></div></main></div><aside id="secondary" class="widget-area"><section class="widget"><h2 class="widget-title">Recent posts</h2><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></section></aside><footer id="colophon" class="site-footer"><div class="site-info">Proudly powered by nothing.</div></footer></div></body>''', ALL),
+    ("news site", f'''<body><div class="page-wrapper"><div class="top-bar"><a href=/>News</a><a href=/s>Sport</a><a href=/w>Weather</a></div><div class="story"><h1 class="story__title">The headline</h1><div class="story__share"><a href=f>Share</a><a href=t>Tweet</a></div><div class="story__body"><p>{P1}</p><figure><img src=x><figcaption>The harbour.</figcaption></figure><p>{P2}</p><p>{P3}</p></div></div><div class="more-stories"><h3>More stories</h3><ul><li><a href=1>A fire in the north</a></li><li><a href=2>A flood in the south</a></li></ul></div><div class="footer-links"><a href=/t>Terms</a> <a href=/p>Privacy</a></div></div></body>''', f"The headline\n{P1}\nThe harbour.\n{P2}\n{P3}"),
+    ("docs", f'''<body><div class="sidebar"><ul><li><a href=a>Install</a></li><li><a href=b>Use</a></li><li><a href=c>Change</a></li></ul></div><div class="document"><h1>The headline</h1><p>{P1}</p><h2>Options</h2><ul><li>The first option, which is on.</li><li>The second option, which is off.</li></ul><pre>run --fast</pre><p>{P2}</p></div><div class="footer">Built with care.</div></body>''', f"The headline\n{P1}\nOptions\nThe first option, which is on.\nThe second option, which is off.\nrun --fast\n{P2}"),
+    ("no closing tags", f'<html><body><nav><a href=a>Home</a> <a href=b>News</a></nav><article><h1>The headline</h1><p>{P1}<p>{P2}<footer>Copyright us', ALL),
+    ("two sidebars", f'<body><div id="left"><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul></div><div id="center"><h1>The headline</h1><p>{P1}</p><p>{P2}</p></div><div id="right"><p>Buy now.</p><p><a href=x>An offer</a></p></div></body>', ALL),
+    ("short article", f'<body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><div class="ad">Buy now, pay later, be happy for ever.</div><article><h1>Hi</h1><p>Yes.</p></article><footer>&copy; 2024 us. All of it.</footer></body>', "Hi\nYes."),
+    ("notice before, main, long comments", f'<body><div class="notice">This page moves in May.</div><header><h2>Example</h2></header><main><h1>The headline</h1><p>{P1}</p></main><section class="comments">' + "".join(f'<div class="comment"><b>Reader {k}</b><p>{P2} And so on, and so on, as I said before. {P3}</p></div>' for k in range(8)) + '</section><footer>Us</footer></body>', f"The headline\n{P1}"),
+    ("form in the middle", f'<body><header>Example</header><main><h1>The headline</h1><p>{P1}</p><form action="/s"><label>Your mail</label><input><button>Send it</button></form><p>{P2}</p></main><footer>Us</footer></body>', ALL),
+    ("aside in article", f'<body><header><a href=/>Example</a></header><article><h1>The headline</h1><p>{P1}</p><aside><p>Related: a story that you may like to read.</p></aside><p>{P2}</p></article><footer>Us, 2024.</footer></body>', ALL),
+    ("sections", f'<body><nav><a href=/>Home</a></nav><article><h1>The headline</h1><section><h2>One</h2><p>{P1}</p></section><section><h2>Two</h2><p>{P2}</p></section></article><footer>Us</footer></body>', f"The headline\nOne\n{P1}\nTwo\n{P2}"),
 ]
 
 
