@@ -92,6 +92,14 @@ class FactorModel:
             x[g, i] = 1
         return x
 
+    def conditions(self, names: Sequence[str] = ()) -> list[dict]:
+        """Each group, and each column of no group, with its columns and their names: the columns of design()."""
+        return [{"condition": i, "columns": [int(j) for j in np.flatnonzero(x)], "samples": [names[j] for j in np.flatnonzero(x)] if names else []} for i, x in enumerate(self.design().T)]
+
+    def wt(self, k: int, n_known: int | None = None) -> np.ndarray:
+        """The factors as rows."""
+        return self.factors(k, n_known).T
+
     def projector(self, k: int, n_known: int | None = None, artifact: str = "naive", chosen: Sequence[int] | None = None) -> np.ndarray:
         """Z with Z y the artifact of a centred row y.
 

@@ -56,6 +56,18 @@ def text_matrix(spark: SparkSession, path: str, n_rows: int | None = None, n_col
     return BigMatrix.of(body, n_cols, names)
 
 
+def split_records(spark: SparkSession, path: str, out: str, records: int, lines: int = 4) -> int:
+    """Text files of records of ``lines`` lines each (sequence reads have four) as folders out/part=0, 1, ... of
+    ``records`` records in order; the number of folders. A last record that is cut off is an error."""
+    numbered = numbered_lines(spark, path)
+    n = numbered.count()
+    if n % lines:
+        raise ValueError(f"{n} lines are no whole records of {lines}")
+    dealt = numbered.select(F.expr(f"line div {records * lines}").alias("part"), "line", "value")
+    dealt.repartitionByRange("line").sortWithinPartitions("part", "line").drop("line").write.partitionBy("part").text(out)
+    return -(-n // (records * lines))
+
+
 def row_ids(spark: SparkSession, path: str, base: int = 0) -> DataFrame:
     """(pos, row_idx) of a file with one id per line, ids counted from ``base``; pos is the line's number."""
     lines = numbered_lines(spark, path).where(F.trim("value") != "")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..matrix import SCHEMA, BigMatrix
+from ..matrix import SCHEMA, BigMatrix, block
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -75,5 +77,16 @@ def export_configs(m: BigMatrix, model, which: str, configs, path: str, **option
     components_of_configs(m, model, which, configs, **options).write.mode("overwrite").partitionBy("k", "n_known").parquet(path)
 
 
+def read_batches(m: BigMatrix, rows: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row ids, cells) of the rows in order, so many row ids at a time: what the driver holds of a matrix of any size."""
+    ends = m.df.agg(F.min("row_idx").alias("lo"), F.max("row_idx").alias("hi")).first()
+    if ends["lo"] is None:
+        return
+    for a in range(ends["lo"], ends["hi"] + 1, rows):
+        part = m.rows(a, a + rows).df.select("row_idx", "v").orderBy("row_idx").toArrow()
+        if part.num_rows:
+            yield part.column("row_idx").to_numpy(), block(part.column("v").combine_chunks())
+
+
 def read_ordered(m: BigMatrix) -> DataFrame:
     return m.df.orderBy("row_idx")

@@ -439,3 +439,20 @@ def test_alignments_in_splits(spark, tmp_path):
     for step in (64 << 20, 50_000, 7_000, 1_000):
         got = [(r["ref"], r["start"], r["end"], r["is_mapped"]) for r in files.read_bam(spark, [str(tmp_path / "x.bam")], step).collect()]
         assert sorted(got, key=key) == sorted(expected, key=key), step
+
+
+def test_batches_records_and_conditions(spark, tmp_path, x):
+    got = list(store.read_batches(of(spark, x), 25))
+    assert [len(i) for i, _ in got] == [25, 25, 10] and np.allclose(np.concatenate([v for _, v in got]), x)
+    assert list(store.read_batches(of(spark, x).rows(70, 80))) == []
+    lines = [f"{kind}{k}" for k in range(10) for kind in "@A+I"]
+    (tmp_path / "r.fastq").write_text("\n".join(lines) + "\n")
+    assert files.split_records(spark, str(tmp_path / "r.fastq"), str(tmp_path / "parts"), 4) == 3
+    for k, n in enumerate((16, 16, 8)):
+        assert [r["value"] for r in files.numbered_lines(spark, str(tmp_path / "parts" / f"part={k}")).orderBy("line").collect()] == lines[16 * k : 16 * k + n]
+    (tmp_path / "cut.fastq").write_text("@\nA\n+\n")
+    with pytest.raises(ValueError):
+        files.split_records(spark, str(tmp_path / "cut.fastq"), str(tmp_path / "no"), 4)
+    model = factor.fit_ruvs(of(spark, x), [[0, 1], [2, 3, 4]])
+    assert [c["columns"] for c in model.conditions()] == [[0, 1], [2, 3, 4], [5], [6], [7]] and model.conditions("abcdefgh")[1]["samples"] == ["c", "d", "e"]
+    assert np.allclose(model.wt(2), model.factors(2).T)
