@@ -101,10 +101,11 @@ def _spread(h: np.ndarray, lane: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def folded(texts: pa.Array, width: int, seed: int, words: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of shingles, and fingerprints (text, word), of a column of texts.
+def folded(texts: pa.Array, width: int, seed: int, words: int = 1, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of shingles, and fingerprints (text, word), of a column of texts; distinct: each shingle of a text counts once.
 
-    Hashes are held of a bounded number of texts, and of a bounded part of a long one.
+    Hashes are held of a bounded number of texts, and of a bounded part of a long one (of all its
+    different ones, where they count once).
     """
     counts, out = np.zeros(len(texts), np.int64), np.zeros((len(texts), words), np.uint64)
     pending: list[int] = []
@@ -121,8 +122,13 @@ def folded(texts: pa.Array, width: int, seed: int, words: int = 1) -> tuple[np.n
         if text and len(text) > SEGMENT:
             fold(i)
             ones = np.zeros((words, 64), np.int64)
-            for part in segment_hashes(text, width, seed):
-                h = np.array(part, np.uint64)
+            parts = (np.array(part, np.uint64) for part in segment_hashes(text, width, seed))
+            if distinct:
+                every = np.zeros(0, np.uint64)
+                for part in parts:
+                    every = np.union1d(every, part)
+                parts = [every]
+            for h in parts:
                 counts[i] += len(h)
                 for a in range(0, len(h), 65536):
                     for k in range(words):
@@ -131,6 +137,8 @@ def folded(texts: pa.Array, width: int, seed: int, words: int = 1) -> tuple[np.n
             first = i + 1
             continue
         h = shingle_hashes(text, width, seed) if text else []
+        if distinct:
+            h = set(h)
         counts[i] = len(h)
         pending.extend(h)
         if len(pending) > 500_000:
@@ -376,25 +384,23 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def wide_radius(similarity: float, words: int = 4) -> int:
-    """Bits in which fingerprints of two texts may differ that share this part (Jaccard) of their shingles.
+    """Bits in which fingerprints of that similarity, the share of equal bits, may differ.
 
-    Two sets of equal size with Jaccard similarity s have the cosine 2 s / (1 + s), and a bit differs with
-    probability arccos / pi. The radius is the mean of the differing bits and 1.28 standard deviations:
-    nine of ten pairs of just this similarity lie within.
+    A bit differs with probability arccos(c) / pi where c is the cosine of the texts' shingles: a
+    share of 0.8 is a cosine of 0.81.
     """
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return round(64 * words * p + 1.28 * (64 * words * p * (1 - p)) ** 0.5)
+    return int((1 - similarity) * 64 * words + 1e-9)
 
 
-def sampled_masks(n: int, similarity: float, words: int = 4, recall: float = 0.95, shard_target: int = 64, seed: int = 9) -> np.ndarray:
+def sampled_masks(n: int, similarity: float, words: int = 4, recall: float = 0.9, shard_target: int = 128, seed: int = 9) -> np.ndarray:
     """Masks (table, word) of log2(n / shard_target) random bits each.
 
-    There are as many as it takes for two fingerprints of this similarity to agree under one of them
-    with probability ``recall``; a single mask without bits where n is no more than a shard's target.
+    There are as many as it takes for two fingerprints of just this similarity to agree under one of
+    them with probability ``recall``, and closer ones with a greater one; a single mask without bits
+    where n is no more than a shard's target.
     """
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / shard_target))))
-    agree = (1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi) ** bits
-    tables = 1 if not bits else int(np.ceil(np.log(1 - recall) / np.log(1 - agree)))
+    tables = 1 if not bits else int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**bits)))
     rng = np.random.default_rng(seed)
     out = np.zeros((tables, words), np.uint64)
     for t in range(tables):
@@ -406,8 +412,9 @@ def sampled_masks(n: int, similarity: float, words: int = 4, recall: float = 0.9
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, words: int = 4, seed: int = 42, shard_rows: int = 1024) -> DataFrame:
     """(doc_id, k1, k2, again) of the rows that are not the first of their group of near copies, and of repeated rows.
 
-    Texts are near copies if their fingerprints of ``words`` 64-bit words over shingles of ``width``
-    words differ in at most wide_radius(similarity) bits; a group is what such links connect. Texts
+    Texts are near copies if their fingerprints of ``words`` 64-bit words over the different shingles
+    of ``width`` words, each counted once, agree in ``similarity`` of their bits or more; a group is what such links connect. A
+    link of just this similarity is found with the recall of sampled_masks. Texts
     without words (null, empty, blank) are one group. A group's first row is that of the smallest
     doc_id, null ids last, and among equal ids that of the least k1, k2: xxhash64(doc_id, text) and
     xxhash64(text, 1, doc_id) with null texts as empty ones. again: the row is the first itself and
@@ -417,7 +424,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, fp = folded(batch.column(3), width, seed, words)
+            n, fp = folded(batch.column(3), width, seed, words, distinct=True)
             fp = np.ascontiguousarray(fp.T).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n > 0), *(pa.array(f) for f in fp)], ["doc_id", "k1", "k2", "worded", *names])
 

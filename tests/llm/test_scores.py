@@ -112,9 +112,9 @@ def rows_text(rng):
 def test_long_texts_in_segments(monkeypatch):
     rng = random.Random(34)
     texts = [words(rng, n).encode() for n in (1, 3, 50, 4000)] + [None, b"", b"   ", b"x" * 5000, b"a " * 3000, b"one two\tthree\nfour"]
-    whole = [simhash.folded(pa.array(texts, pa.binary()), 4, 42, k) for k in (1, 4)]
+    whole = [simhash.folded(pa.array(texts, pa.binary()), 4, 42, k, k > 1) for k in (1, 4)]
     for size in (1, 7, 100):
         monkeypatch.setattr(simhash, "SEGMENT", size)
         for k, (n, fp) in zip((1, 4), whole):
-            got = simhash.folded(pa.array(texts, pa.binary()), 4, 42, k)
+            got = simhash.folded(pa.array(texts, pa.binary()), 4, 42, k, k > 1)
             assert (got[0] == n).all() and (got[1] == fp).all()
