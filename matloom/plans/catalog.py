@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,23 +22,24 @@ class Conflict(RuntimeError):
 class Catalog:
     """Small tables of JSON records by kind and id, read anew by every call.
 
-    A change writes the kind's next version as a folder that must not exist yet, and the greatest
-    whole version counts: of two writers one fails, reads what the other wrote and tries again, and
-    a reader never meets half a table. Old versions stay until vacuum().
+    A change writes the kind's next version as a whole file that must not be there yet, and the
+    greatest version counts: of two writers one fails, reads what the other wrote and tries again,
+    and a reader never meets half a table. Old versions stay until vacuum().
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.path_of = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path_of(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _versions(self, kind: str) -> list[int]:
         if kind not in KINDS:
             raise KeyError(kind)
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
-        fs = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(place):
+        place = self.path_of(f"{self.path}/{kind}")
+        if not self.fs.exists(place):
             return []
-        found = [f.getPath() for f in fs.listStatus(place)]
-        return sorted(int(p.getName()[1:]) for p in found if p.getName().startswith("v") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        names = [f.getPath().getName() for f in self.fs.listStatus(place)]
+        return sorted(int(n[1:]) for n in names if n.startswith("v"))
 
     def _table(self, kind: str) -> tuple[int, dict[int, dict]]:
         versions = self._versions(kind)
@@ -45,24 +48,40 @@ class Catalog:
         text = read_text(self.spark, f"{self.path}/{kind}/v{versions[-1]:08d}")
         return versions[-1], {int(k): v for k, v in json.loads(text).items()}
 
-    def _change(self, kind: str, fn: Callable[[dict[int, dict]], int | None], tries: int = 20) -> int | None:
+    def _put(self, place: str, text: str) -> bool:
+        """Whether the file is there now with this text: False if it was there before.
+
+        It is written under another name, which then becomes its own in one step that fails where the
+        name is taken: a link on local disks, a renaming elsewhere.
+        """
+        folder, _, name = place.rpartition("/")
+        draft, final = self.path_of(f"{folder}/.{uuid.uuid4().hex}"), self.path_of(place)
+        out = self.fs.create(draft)
+        out.write(bytearray(text.encode()))
+        out.close()
+        try:
+            if self.fs.getScheme() != "file":
+                return not self.fs.exists(final) and self.fs.rename(draft, final)
+            try:
+                os.link(draft.toUri().getPath(), final.toUri().getPath())
+                return True
+            except FileExistsError:
+                return False
+        finally:
+            self.fs.delete(draft, False)
+
+    def _change(self, kind: str, fn: Callable[[dict[int, dict]], int | None], tries: int = 50) -> int | None:
         for _ in range(tries):
             version, table = self._table(kind)
             out = fn(table)
-            try:
-                frame = self.spark.createDataFrame([(json.dumps(table),)], "value string").coalesce(1)
-                frame.write.mode("errorifexists").text(f"{self.path}/{kind}/v{version + 1:08d}")
+            if self._put(f"{self.path}/{kind}/v{version + 1:08d}", json.dumps(table)):
                 return out
-            except Exception as e:
-                if "PATH_ALREADY_EXISTS" not in str(e):
-                    raise
         raise Conflict(kind)
 
     def vacuum(self, kind: str, keep: int = 2) -> None:
         """Delete all but the newest versions."""
         for v in self._versions(kind)[:-keep]:
-            place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/v{v:08d}")
-            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+            self.fs.delete(self.path_of(f"{self.path}/{kind}/v{v:08d}"), False)
 
     def create(self, kind: str, **record) -> int:
         def add(table: dict[int, dict]) -> int:
