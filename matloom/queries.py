@@ -529,7 +529,24 @@ def factor_ruvg_project(spark, d):
     return _long(factor.component(m, model, "signal_random", 2))
 
 
-@query()
+#: Two leading eigenvectors of the replicate differences' Gram matrix by power iteration. All columns are
+#: replicates and all rows controls, so W is the Gram matrix of the centred rows times each vector over its
+#: eigenvalue, and a, estimated beside the group means, is the row times the vectors.
+_RUVS = f"""WITH RECURSIVE {E}, y AS (SELECT row_idx, col, avg(value) OVER r AS m, value - avg(value) OVER r AS y, value - avg(value) OVER (PARTITION BY row_idx, col // 16) AS s FROM e WINDOW r AS (PARTITION BY row_idx)),
+pr AS (SELECT a.col AS i, b.col AS j, sum(a.s * b.s) AS sa, sum(a.y * b.y) AS sg FROM y AS a JOIN y AS b USING (row_idx) GROUP BY ALL),
+mt AS (SELECT list(ra ORDER BY i) AS mx, list(rg ORDER BY i) AS gx, list_transform(range(64), lambda x: cos(1.7 * x + 0.3)) AS v0 FROM (SELECT i, list(sa ORDER BY j) AS ra, list(sg ORDER BY j) AS rg FROM pr GROUP BY i)),
+p AS (SELECT 0 AS t, v0 AS v FROM mt UNION ALL SELECT t + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (SELECT t, list_transform(mx, lambda r: list_dot_product(r, v)) AS w FROM p, mt WHERE t < 1500)),
+v1 AS (SELECT v AS a FROM p WHERE t = 1500),
+o AS (SELECT 0 AS t, v0 AS v FROM mt UNION ALL SELECT t + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (
+  SELECT t, list_transform(list_zip(w0, a), lambda z: z[1] - list_dot_product(w0, a) * z[2]) AS w FROM (SELECT t, a, list_transform(mx, lambda r: list_dot_product(r, v)) AS w0 FROM o, mt, v1 WHERE t < 1500))),
+v2 AS (SELECT v AS b FROM o WHERE t = 1500),
+ws AS (SELECT a, b, list_transform(gx, lambda r: list_dot_product(r, a) / list_dot_product(a, list_transform(mx, lambda q: list_dot_product(q, a)))) AS wa,
+  list_transform(gx, lambda r: list_dot_product(r, b) / list_dot_product(b, list_transform(mx, lambda q: list_dot_product(q, b)))) AS wb FROM mt, v1, v2),
+f AS (SELECT row_idx, sum(y * a[CAST(col + 1 AS INTEGER)]) AS fa, sum(y * b[CAST(col + 1 AS INTEGER)]) AS fb FROM y, ws GROUP BY row_idx),
+rest AS (SELECT row_idx, col, m, y - fa * wa[CAST(col + 1 AS INTEGER)] - fb * wb[CAST(col + 1 AS INTEGER)] AS r FROM y JOIN f USING (row_idx), ws) """
+
+
+@query(_RUVS + "SELECT row_idx, CAST(col AS BIGINT) AS col, round(avg(r) OVER (PARTITION BY row_idx, col // 16) + m, 6) + 0.0 AS value FROM rest")
 def factor_ruvs_project(spark, d):
     m = matrix_e(spark, d)
     return _long(factor.component(m, factor.fit_ruvs(m, GROUPS), "signal", 2, artifact="adjusted"))
@@ -560,6 +577,11 @@ a AS (SELECT *, s * sum(s * (value - m)) OVER (PARTITION BY row_idx) / 16 AS art
 p AS (SELECT *, avg(value - m - art) OVER (PARTITION BY row_idx, col // 16) AS sg, value - art AS kept FROM a) """
 
 
+def _three_components(m: BigMatrix, model, config: tuple[int, int]) -> DataFrame:
+    parts = [_long(factor.component(m, model, which, *config)).withColumnRenamed("value", which) for which in ("artifact", "signal", "random")]
+    return parts[0].join(parts[1], ["row_idx", "col"]).join(parts[2], ["row_idx", "col"])
+
+
 def _known_model(m: BigMatrix):
     return factor.fit_ruvg(m, known=np.array(HALVES), groups=GROUPS)
 
@@ -567,35 +589,82 @@ def _known_model(m: BigMatrix):
 @query(_KNOWN + "SELECT row_idx, CAST(col AS BIGINT) AS col, round(art, 6) + 0.0 AS artifact, round(sg + m, 6) + 0.0 AS signal, round(value - m - art - sg, 6) + 0.0 AS random FROM p")
 def known_factor_components(spark, d):
     m = matrix_e(spark, d)
-    model = _known_model(m)
-    parts = [_long(factor.component(m, model, which, 0, 1)).withColumnRenamed("value", which) for which in ("artifact", "signal", "random")]
-    return parts[0].join(parts[1], ["row_idx", "col"]).join(parts[2], ["row_idx", "col"])
+    return _three_components(m, _known_model(m), (0, 1))
+
+
+#: What distances, F and variances are of the table p of (row_idx, col, value, m, art, sg, kept).
+_DISTANCES = "SELECT CAST(x.a AS INTEGER) AS a, CAST(x.b AS INTEGER) AS b, value FROM (" + _PAIR.format("round(sqrt(sum((a.kept - b.kept) * (a.kept - b.kept))), 6) AS value", x="p") + ") AS x"
+_F = """, gm AS (SELECT row_idx, col // 16 AS g, count(*) AS n, avg(kept) AS mg, var_pop(kept) * count(*) AS ss FROM p GROUP BY ALL),
+t AS (SELECT row_idx, avg(kept) AS gmean FROM p GROUP BY row_idx)
+SELECT row_idx, round((sum(n * (mg - gmean) * (mg - gmean)) / 3) / (sum(ss) / 60), 6) AS f FROM gm JOIN t USING (row_idx) GROUP BY row_idx"""
+_SS = """, w AS (SELECT *, sg + m AS b, avg(sg + m) OVER (PARTITION BY row_idx) AS rb FROM p),
+t AS (SELECT avg(value) AS gt, avg(b) AS gb, avg(art) AS gu, avg(b + art) AS gbu, avg(value - b - art) AS gr FROM w),
+q AS (SELECT sum((value - gt) ** 2) AS ss_t, sum((b - gb) ** 2) AS ss_b, sum((art - gu) ** 2) AS ss_u, sum((b + art - gbu) ** 2) AS ss_bu, sum((value - b - art - gr) ** 2) AS ss_r, sum((rb - gb) ** 2) AS b_ss_bl, sum((b - rb) ** 2) AS b_ss_wl FROM w, t)
+SELECT round(ss_t, 6) AS ss_t, round(ss_b, 6) AS ss_b, round(ss_u, 6) AS ss_u, round(ss_bu, 6) AS ss_bu, round(ss_r, 6) AS ss_r, round(b_ss_bl, 6) AS b_ss_bl, round(b_ss_wl, 6) AS b_ss_wl,
+round(ss_b / ss_t, 6) AS b, round(ss_bu / ss_t - ss_b / ss_t, 6) + 0.0 AS u, round(1 - ss_bu / ss_t, 6) AS e FROM q"""
+
+
+def _distances(spark: SparkSession, m: BigMatrix, model, config: tuple[int, int]) -> DataFrame:
+    ((_, square),) = factor.per_config(m, model, [config], lambda c: pairwise.distance_matrix(c, "euclidean")).items()
+    return _pairs(spark, square)
+
+
+def _f(m: BigMatrix, model, config: tuple[int, int]) -> DataFrame:
+    return factor.anova_by_config(m, model, [config], GROUPS).select("row_idx", _r("f").alias("f"))
+
+
+def _ss(m: BigMatrix, model, config: tuple[int, int]) -> DataFrame:
+    got = factor.decompose_variance(m, model, [config])
+    return got.select(*(_r(c).alias(c) for c in ("ss_t", "ss_b", "ss_u", "ss_bu", "ss_r", "b_ss_bl", "b_ss_wl", "b", "u", "e")))
 
 
-@query(_KNOWN + "SELECT 1 AS n_known, CAST(x.a AS INTEGER) AS a, CAST(x.b AS INTEGER) AS b, value FROM (" + _PAIR.format("round(sqrt(sum((a.kept - b.kept) * (a.kept - b.kept))), 6) AS value", x="p") + ") AS x")
+@query(_KNOWN + _DISTANCES)
 def distance_known_factor(spark, d):
     m = matrix_e(spark, d)
-    ((_, square),) = factor.per_config(m, _known_model(m), [(0, 1)], lambda c: pairwise.distance_matrix(c, "euclidean")).items()
-    return _pairs(spark, square).select(F.lit(1).alias("n_known"), "a", "b", "value")
+    return _distances(spark, m, _known_model(m), (0, 1))
 
 
-@query(_KNOWN + """, gm AS (SELECT row_idx, col // 16 AS g, count(*) AS n, avg(kept) AS mg, var_pop(kept) * count(*) AS ss FROM p GROUP BY ALL),
-t AS (SELECT row_idx, avg(kept) AS gmean FROM p GROUP BY row_idx)
-SELECT 1 AS n_known, row_idx, round((sum(n * (mg - gmean) * (mg - gmean)) / 3) / (sum(ss) / 60), 6) AS f FROM gm JOIN t USING (row_idx) GROUP BY row_idx""")
+@query(_KNOWN + _F)
 def anova_known_factor(spark, d):
     m = matrix_e(spark, d)
-    return factor.anova_by_config(m, _known_model(m), [(0, 1)], GROUPS).select("n_known", "row_idx", _r("f").alias("f"))
+    return _f(m, _known_model(m), (0, 1))
 
 
-@query(_KNOWN + """, w AS (SELECT *, sg + m AS b, avg(sg + m) OVER (PARTITION BY row_idx) AS rb FROM p),
-t AS (SELECT avg(value) AS gt, avg(b) AS gb, avg(art) AS gu, avg(b + art) AS gbu, avg(value - b - art) AS gr FROM w),
-q AS (SELECT sum((value - gt) ** 2) AS ss_t, sum((b - gb) ** 2) AS ss_b, sum((art - gu) ** 2) AS ss_u, sum((b + art - gbu) ** 2) AS ss_bu, sum((value - b - art - gr) ** 2) AS ss_r, sum((rb - gb) ** 2) AS b_ss_bl, sum((b - rb) ** 2) AS b_ss_wl FROM w, t)
-SELECT 1 AS n_known, round(ss_t, 6) AS ss_t, round(ss_b, 6) AS ss_b, round(ss_u, 6) AS ss_u, round(ss_bu, 6) AS ss_bu, round(ss_r, 6) AS ss_r, round(b_ss_bl, 6) AS b_ss_bl, round(b_ss_wl, 6) AS b_ss_wl,
-round(ss_b / ss_t, 6) AS b, round(ss_bu / ss_t - ss_b / ss_t, 6) + 0.0 AS u, round(1 - ss_bu / ss_t, 6) AS e FROM q""")
+@query(_KNOWN + _SS)
 def variance_known_factor(spark, d):
     m = matrix_e(spark, d)
-    got = factor.decompose_variance(m, _known_model(m), [(0, 1)])
-    return got.select("n_known", *(_r(c).alias(c) for c in ("ss_t", "ss_b", "ss_u", "ss_bu", "ss_r", "b_ss_bl", "b_ss_wl", "b", "u", "e")))
+    return _ss(m, _known_model(m), (0, 1))
+
+
+#: The first factor that is learned from replicates, and a from the row alone: what lies along W.
+_LEARNED = _RUVS[: _RUVS.index("o AS (SELECT 0 AS t")] + """ws AS (SELECT list_transform(gx, lambda r: list_dot_product(r, a)) AS wa FROM mt, v1),
+ar AS (SELECT row_idx, col, m, y + m AS value, wa[CAST(col + 1 AS INTEGER)] * sum(y * wa[CAST(col + 1 AS INTEGER)]) OVER (PARTITION BY row_idx) / list_dot_product(wa, wa) AS art FROM y, ws),
+"""
+_LEARNED = _LEARNED.replace("p AS (SELECT 0 AS t", "pw AS (SELECT 0 AS t").replace("FROM p, mt", "FROM pw, mt").replace("FROM p WHERE t", "FROM pw WHERE t") + "p AS (SELECT *, avg(value - m - art) OVER (PARTITION BY row_idx, col // 16) AS sg, value - art AS kept FROM ar) "
+
+
+@query(_LEARNED + "SELECT row_idx, CAST(col AS BIGINT) AS col, round(art, 6) + 0.0 AS artifact, round(sg + m, 6) + 0.0 AS signal, round(value - m - art - sg, 6) + 0.0 AS random FROM p")
+def learned_factor_components(spark, d):
+    m = matrix_e(spark, d)
+    return _three_components(m, factor.fit_ruvs(m, GROUPS), (1, 0))
+
+
+@query(_LEARNED + _DISTANCES)
+def distance_learned_factor(spark, d):
+    m = matrix_e(spark, d)
+    return _distances(spark, m, factor.fit_ruvs(m, GROUPS), (1, 0))
+
+
+@query(_LEARNED + _F)
+def anova_learned_factor(spark, d):
+    m = matrix_e(spark, d)
+    return _f(m, factor.fit_ruvs(m, GROUPS), (1, 0))
+
+
+@query(_LEARNED + _SS)
+def variance_learned_factor(spark, d):
+    m = matrix_e(spark, d)
+    return _ss(m, factor.fit_ruvs(m, GROUPS), (1, 0))
 
 
 @query(_KNOWN + "SELECT CAST(n AS INTEGER) AS n_known, row_idx, CAST(col AS BIGINT) AS col, round(CASE WHEN n = 0 THEN 0 ELSE art END, 6) + 0.0 AS value FROM p, (SELECT unnest([0, 1]) AS n)")
@@ -767,11 +836,16 @@ def beta_binomial_mle(spark, d):
     return B.beta_binomial_mle(counts, "key").select("key", _r("mu").alias("mu"), _r("m", 3).alias("m"))
 
 
-@query()
+@query(f"""WITH {E}, j AS (SELECT a.row_idx, a.col, a.value AS y, b.value AS x FROM e AS a JOIN e AS b ON b.row_idx = a.row_idx + 1 AND b.col = a.col),
+m AS (SELECT row_idx, avg(y) AS my, avg(x) AS mx FROM j WHERE col < 32 GROUP BY row_idx),
+k AS (SELECT row_idx, my, mx, sum((x - mx) * (y - my)) / (sum((x - mx) * (x - mx)) + 1e-6) AS beta FROM j JOIN m USING (row_idx) WHERE col < 32 GROUP BY ALL)
+SELECT row_idx, round(avg((y - my - beta * (x - mx)) ** 2), 9) AS error, round(avg((y - my - beta * (x - mx)) ** 2) / avg((y - my) ** 2), 9) AS relative FROM j JOIN k USING (row_idx) WHERE col >= 32 GROUP BY row_idx""")
 def predicted_rows(spark, d):
+    """The second half of each row's cells from those of the next row, by a ridge regression on the first half."""
     e = matrix_e(spark, d).df
     xs = e.select((F.col("row_idx") - 1).alias("row_idx"), F.array("v").alias("xs"))
-    return factor.predict_rows(e.withColumnRenamed("v", "y").join(xs, "row_idx"), range(32), range(32, 64))
+    found = factor.predict_rows(e.withColumnRenamed("v", "y").join(xs, "row_idx"), range(32), range(32, 64))
+    return found.select("row_idx", _r("error", 9).alias("error"), _r("relative", 9).alias("relative"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

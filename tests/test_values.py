@@ -153,7 +153,7 @@ def test_predicted_rows(spark, e):
         c = p[:32] - p[:32].mean()
         slope = (c * (y[:32] - y[:32].mean())).sum() / ((c * c).sum() + 1e-6)
         miss = y[32:] - y[:32].mean() - slope * (p[32:] - p[:32].mean())
-        assert error == pytest.approx((miss**2).mean()) and relative == pytest.approx((miss**2).mean() / ((y[32:] - y[:32].mean()) ** 2).mean())
+        assert error == pytest.approx((miss**2).mean(), abs=1e-8) and relative == pytest.approx((miss**2).mean() / ((y[32:] - y[:32].mean()) ** 2).mean(), abs=1e-8)
     assert len(got) == len(x) - 1
 
 
