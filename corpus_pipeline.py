@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matloom.llm import queries as llm
-from matloom.llm.common import fresh, materialize, release, scratch_scope, sift
+from matloom.llm.common import fresh, materialize, quoted, release, scratch_scope, sift
 from matloom.llm.decontam import find_contamination
 from matloom.llm.line_dedup import rewritten
 from matloom.llm.packing import pack
@@ -65,7 +65,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     marks = materialize(near_copies(docs), "pipeline-copies").withColumnsRenamed({"doc_id": "d", "k1": "j1", "k2": "j2"})
     rest, some = sift(keyed, F.col(key).getField("k1"), marks, "j1")
     # what may be marked meets the marks as one struct, so that no name can clash
-    row = some.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), f"{key}.*")
+    row = some.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), f"{key}.*")
     met = row.join(marks.hint("merge"), F.expr("k1 = j1 and k2 = j2 and doc_id <=> d"), "left").where("again or again is null")
     nth = F.row_number().over(Window.partitionBy("k1", "k2", "doc_id").orderBy(F.lit(0)))
     once = met.withColumn("nth", F.when(F.col("again"), nth).otherwise(1)).where("nth = 1")
@@ -79,7 +79,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = find_contamination(keyed.select(k1.alias("doc_id"), "text"), _table(spark, sf_dir, "benchmark")).where(F.size("spans") > 0)
     hits = materialize(found.select(F.col("doc_id").alias("hit")).distinct(), "pipeline-leaks")
     rest, some = sift(keyed, k1, hits, "hit")
-    row = some.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), k1.alias("k1"))
+    row = some.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), k1.alias("k1"))
     left = row.join(hits.hint("merge"), F.col("k1") == F.col("hit"), "left_anti")
     return rest.select(*docs.columns).unionByName(left.select("row.*"))
 
