@@ -234,13 +234,14 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str =
     met.select(record.alias("value")).write.option("lineSep", end).option("compression", "none").option("maxRecordsPerFile", most).text(path)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, most_bytes: int = (1 << 31) - 1) -> DataFrame:
     """Records and gaps of all archives under ``path``, whole and damaged alike.
 
     Columns: file, start, end, gap (why bytes were quarantined; null for records), record_id,
     record_type, url, refers_to, payload (null for gaps), payload_bytes and payload_digest (of the
     full payload, which for revisits is told by their headers). An archive is read by one task, as
-    one value of at most 2 GB: keep files to some hundred MB, as write_warc does.
+    one value of at most 2 GB: keep files to some hundred MB, as write_warc does. One of more than
+    ``most_bytes`` is a gap as a whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,9 +259,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     texts = ["gap", "record_id", "record_type", "url", "refers_to"]
     schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("end", pa.int64()), *((t, pa.string()) for t in texts), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     kinds = "file string, start bigint, end bigint, " + ", ".join(f"{t} string" for t in texts)
-    return files.mapInArrow(run, f"{kinds}, payload binary, payload_bytes bigint, payload_digest string")
+    found = files.where(F.col("length") <= most_bytes).select("path", "content").mapInArrow(run, f"{kinds}, payload binary, payload_bytes bigint, payload_digest string")
+    whole = {"file": F.col("path"), "start": F.lit(0).cast("bigint"), "end": F.col("length"), "gap": F.lit("archive too large")}
+    large = files.where(F.col("length") > most_bytes).select(*(whole.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in found.schema))
+    return found.unionByName(large)
 
 
 def _row(file: str, r: Record | Gap) -> dict:

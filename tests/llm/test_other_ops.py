@@ -135,6 +135,15 @@ def test_files_are_cut(spark, tmp_path):
     assert len(sizes) > 4 and max(sizes) < 40_000 and warc.read_warc(spark, f"file://{tmp_path}/w").where("gap is null").count() == 100
 
 
+def test_too_large_archives_are_gaps(spark, archive, tmp_path):
+    (tmp_path / "a.warc").write_bytes(archive)
+    (tmp_path / "b.warc").write_bytes(archive * 2)
+    got = warc.read_warc(spark, f"file://{tmp_path}", most_bytes=len(archive)).collect()
+    large = [r for r in got if r["gap"] == "archive too large"]
+    assert [(r["file"].rpartition("/")[2], r["start"], r["end"], r["payload"]) for r in large] == [("b.warc", 0, 2 * len(archive), None)]
+    assert sum(r["gap"] is None for r in got) == 40
+
+
 def test_gaps_are_logged(spark, archive, tmp_path):
     (tmp_path / "a.warc").write_bytes(archive[:1000] + b"\0" * 30 + archive[1030:])
     (tmp_path / "b.warc").write_bytes(b"nothing at all")
