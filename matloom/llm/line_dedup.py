@@ -30,13 +30,17 @@ def windows(keyed: DataFrame, span: int = 3) -> DataFrame:
     Lines without visible characters stand in no window. A text of fewer lines, but not none, is
     one window of them all.
     """
-    lines = F.expr(r"filter(transform(split(text, '\n', -1), (x, i) -> struct(x, i)), s -> trim(BOTH ' \t\r' FROM s.x) <> '')")
-    hashed = lambda salt: f"xxhash64({salt}, slice(c.x, i, {span}), size(slice(c.x, i, {span})))"
+    lines = r"filter(transform(split(text, '\n', -1), (x, i) -> struct(x, i)), s -> trim(BOTH ' \t\r' FROM s.x) <> '')"
+    hashed = F.expr(f"transform({lines}, s -> struct(s.i AS i, xxhash64(s.x, 1) AS a, xxhash64(2, s.x) AS b))")  # each line once
+    # line k with those after it: linear in the lines, where a slice for each window would copy a list each time
+    beside = F.arrays_zip(*(F.expr(f"slice(c, {1 + k}, size(c))").alias(f"l{k}") for k in range(span)))
+    fields = lambda f: ", ".join(f"w.l{k}.{f}" for k in range(span))
     each = F.expr(
-        f"""if(size(c) = 0, array(), transform(sequence(1, greatest(size(c) - {span - 1}, 1)),
-              i -> struct(i as pos, {hashed(1)} as h1, {hashed(2)} as h2, slice(c.i, i, {span}) as lines)))"""
+        f"""transform(slice(z, 1, greatest(size(c) - {span - 1}, 1)), (w, i) -> struct(i + 1 AS pos,
+              xxhash64(least(size(c), {span}), {fields("a")}) AS h1, xxhash64({fields("b")}, least(size(c), {span})) AS h2, array_compact(array({fields("i")})) AS lines))"""
     )
-    return keyed.withColumn("c", lines).select("doc_id", "k1", "k2", F.explode(each).alias("w")).select("doc_id", "k1", "k2", "w.*")
+    held = keyed.withColumn("c", hashed).withColumn("z", beside)
+    return held.select("doc_id", "k1", "k2", F.explode(each).alias("w")).select("doc_id", "k1", "k2", "w.*")
 
 
 def covered_lines(keyed: DataFrame, span: int = 3) -> DataFrame:

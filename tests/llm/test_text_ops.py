@@ -60,7 +60,6 @@ def test_chunked_ids_equal_whole_ids():
     texts = ["it's IT'S don't,, x<|endoftext|>y <|ENDOFTEXT|> Å ña. 12,3.4 İI Σας"] + ["".join(rng.choice(alphabet) for _ in range(50)) for _ in range(800)]
     for t in texts:
         chunks = t.encode().split()
-        known.learn(set(chunks))
         assert np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
@@ -324,6 +323,16 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 
 
+def test_windows_of_a_text_of_many_lines(spark):
+    import time
+
+    text = "\n".join(f"line {i % 9000}" for i in range(20_000))
+    begun = time.time()
+    (r,) = line_dedup.dedup_lines(documents(spark, [(1, text)])).collect()
+    assert (r["n_lines"], r["n_removed"]) == (20_000, 11_000) and r["text"] == "\n".join(f"line {i}" for i in range(9000))
+    assert time.time() - begun < 30  # not in the square of the lines
+
+
 # --- sharding ---------------------------------------------------------------------------------
 
 
