@@ -8,6 +8,7 @@ place by their rank among those of equal length.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -34,6 +35,7 @@ class ChunkIds(dict):
     """Token ids, as little-endian uint32 bytes, of chunks that hold no white space.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its chunks.
+    They are worked out as chunks are met, and at most so many are kept.
     """
 
     def __init__(self, path: str, most: int = 600_000):
@@ -43,34 +45,32 @@ class ChunkIds(dict):
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in visible]
+        self.split = self.tokenizer.model.tokenize
         #: byte-level BPE writes a byte as its own character, or as one from U+0100 on if it is not visible
         self.glyphs = [chr(b) if b in visible else chr(0x100 + hidden.index(b)) for b in range(256)]
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Have the ids of all chunks. Those of a plain word and its punctuation come from both parts."""
-        if len(self) + len(chunks) > self.most:
+    def __missing__(self, chunk: bytes) -> bytes:
+        """Those of a plain word and its punctuation come from both parts."""
+        if len(self) >= self.most:
             self.clear()
-        slow: list[bytes] = []
-        parts: list[tuple[bytes, bytes, bytes]] = []
-        for c in chunks:
-            if c not in self:
-                core = c.rstrip(_ENDINGS)
-                word = core.lower()
-                if _PLAIN.fullmatch(word):
-                    parts.append((c, word, c[len(core) :]))
-                else:
-                    slow.append(c)
-        slow += {tail for _, _, tail in parts if tail and tail not in self}
-        for a in range(0, len(slow), 20_000):
-            some = slow[a : a + 20_000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)):
-                self[c] = np.array(e.ids, "<u4").tobytes()
-        split, glyph = self.tokenizer.model.tokenize, self.glyphs
-        for c, word, tail in parts:
+        core = chunk.rstrip(_ENDINGS)
+        word = core.lower()
+        if word.isalpha() or _PLAIN.fullmatch(word):
             ids = self.get(word)
             if ids is None:
-                ids = self[word] = b"".join([t.id.to_bytes(4, "little") for t in split("".join([glyph[x] for x in word]))])
-            self[c] = ids + self[tail] if tail else ids
+                ids = self[word] = b"".join([t.id.to_bytes(4, "little") for t in self.split("".join([self.glyphs[x] for x in word]))])
+            if len(core) < len(chunk):
+                ids += self[chunk[len(core) :]]
+        else:
+            ids = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self[chunk] = ids
+        return ids
+
+
+@functools.lru_cache(maxsize=1)
+def _chunk_ids(path: str) -> ChunkIds:
+    """The ids that a worker process has met, kept from task to task."""
+    return ChunkIds(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -81,31 +81,27 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ChunkIds(tokenizer_path)
+        known = _chunk_ids(tokenizer_path)
         seen = np.zeros(capacity + 1, np.int64)
         task = TaskContext.get().partitionId()
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            a = 0
-            while a < len(ids):
-                chunked, size = [], 0
-                while a + len(chunked) < len(ids) and size < 4_000_000:
-                    t = texts[a + len(chunked)].as_py() or b""
-                    chunked.append(t.split())
-                    size += len(t)
-                known.learn(set().union(*chunked))
-                out: list[list] = [[] for _ in range(8)]
-                for doc, chunks in zip(ids[a : a + len(chunked)], chunked):
-                    whole = b"".join(map(known.__getitem__, chunks)) + end
-                    for k in range(-(-len(whole) // (4 * capacity))):
-                        part = whole[4 * capacity * k : 4 * capacity * (k + 1)]
-                        n = len(part) // 4
-                        for column, value in zip(out, (doc, k, k * capacity, n, zlib.crc32(part), task, int(seen[n]), part if keep_ids else None)):
-                            column.append(value)
-                        seen[n] += 1
-                a += len(chunked)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+            out: list[list] = [[] for _ in range(8)]
+            held = 0
+            for doc, text in zip(ids, texts):
+                whole = b"".join(map(known.__getitem__, text.as_py().split())) + end if text.is_valid else end
+                for k in range(-(-len(whole) // (4 * capacity))):
+                    part = whole[4 * capacity * k : 4 * capacity * (k + 1)]
+                    n = len(part) // 4
+                    for column, value in zip(out, (doc, k, k * capacity, n, zlib.crc32(part), task, int(seen[n]), part if keep_ids else None)):
+                        column.append(value)
+                    seen[n] += 1
+                held += len(whole)
+                if held > 32 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+                    out, held = [[] for _ in range(8)], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth", *["ids"] * keep_ids]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * keep_ids]
