@@ -191,7 +191,8 @@ class BKForest:
     def within(self, queries: np.ndarray, start: np.ndarray, radius: int, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query number, node) pairs within the radius; follows edges d - radius .. d + radius only."""
         queries = queries if queries.ndim == 2 else queries[:, None]
-        stack = [(np.arange(len(queries))[i : i + 65536], start[i : i + 65536]) for i in range(0, len(queries), 65536)]
+        limit, lap = limit // queries.shape[1], 65536 // queries.shape[1]  # as many bytes at once, however wide
+        stack = [(np.arange(len(queries))[i : i + lap], start[i : i + lap]) for i in range(0, len(queries), lap)]
         while stack:
             q, node = stack.pop()
             d = distances(queries[q], self.values[node])
