@@ -445,8 +445,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = classes.join(roots.hint("merge"), F.col("rep") == F.col("node"), "left").where("n > 1 or root is not null")
     some = materialize(some.select("worded", *names, "first", F.coalesce("root", "rep").alias("root")), "near-some")
     firsts = materialize(some.groupBy("root").agg(F.min("first").alias("first")), "near-firsts")
-    some = materialize(some.drop("first").join(firsts.hint("merge"), "root").drop("root"), "near-groups")
-    met = rows.join(some.hint("merge"), ["worded", *names])
+    groups = materialize(some.drop("first").join(firsts.hint("merge"), "root").drop("root"), "near-groups")
+    release(classes, edges, roots, some, firsts)
+    met = rows.join(groups.hint("merge"), ["worded", *names])
     own = F.expr("doc_id <=> first.doc_id and k1 = first.k1 and k2 = first.k2")
     found = met.groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("n"), F.min(own).alias("again"))
     return found.where("not again or n > 1").select("doc_id", "k1", "k2", "again")
