@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 from pathlib import Path
 
 import numpy as np
@@ -88,36 +89,59 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else Path(path).absolute().as_uri())
 
 
-def store_files(prefix: str, n_rows: int, n_cols: int, item: int = 8, limit: int = 1 << 30) -> list[tuple[str, int, int]]:
-    """(path, first row, rows): one file, or numbered ones once the matrix passes the limit."""
-    per = batch_rows(n_cols, item, limit)
-    if n_rows <= per:
-        return [(f"{prefix}.bfv", 0, n_rows)]
-    return [(f"{prefix}_{i}.bfv", a, min(per, n_rows - a)) for i, a in enumerate(range(0, n_rows, per))]
+def store_file(prefix: str, i: int, numbered: bool) -> str:
+    """The one file of a matrix, or its i-th once it passes the limit."""
+    return f"{prefix}_{i}.bfv" if numbered else f"{prefix}.bfv"
+
+
+#: Small files and ranges are dealt to tasks in runs of about so many bytes, and read into batches of about so many.
+TASK_BYTES, BATCH_BYTES = 64 << 20, 1 << 20
+
+
+def _tasks(spark: SparkSession, n_bytes: int, parts: int) -> int:
+    """Tasks for bytes in so many files or ranges: what they come to follows the bytes, not how small the parts are."""
+    return max(1, min(parts, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES))))
 
 
 def binary_matrix(spark: SparkSession, prefix: str, n_rows: int, n_cols: int, kind: str = "<f8", limit: int = 1 << 30, chunk_bytes: int = 16 << 20, names: Sequence[str] | None = None) -> BigMatrix:
     """Row-major little-endian numbers without header, from one file or numbered ones.
 
-    The driver lists byte ranges of whole rows; tasks read theirs from any file system that pyarrow
-    opens. A file that is too short is an error.
+    Byte ranges of whole rows are counted through all files; a task gets a run of them, works out where
+    they lie, and reads them from any file system that pyarrow opens. A file that is too short is an error.
     """
-    item = np.dtype(kind).itemsize
-    per = max(1, chunk_bytes // (n_cols * item))
-    chunks = [(p, a * n_cols * item, first + a, min(per, n - a)) for p, first, n in store_files(prefix, n_rows, n_cols, item, limit) for a in range(0, n, per)]
+    row = n_cols * np.dtype(kind).itemsize
+    per_file = batch_rows(n_cols, np.dtype(kind).itemsize, limit)
+    per = max(1, min(chunk_bytes // row, per_file))
+    numbered, a_file = n_rows > per_file, -(-per_file // per)
+    ranges = n_rows // per_file * a_file + -(-(n_rows % per_file) // per)
+
+    def rows_of(first: int, data: bytes) -> pa.RecordBatch:
+        x = np.frombuffer(data, kind).astype(float).reshape(-1, n_cols)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(x))), as_lists(x)], ["row_idx", "v"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, offset, first, n in zip(*(b.column(c).to_pylist() for c in range(4))):
-                fs, local = _fs(path)
-                with fs.open_input_file(local) as f:
-                    data = f.read_at(n * n_cols * item, offset)
-                if len(data) != n * n_cols * item:
-                    raise ValueError(f"{path} ends before row {first + n}")
-                x = np.frombuffer(data, kind).astype(float).reshape(n, n_cols)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n)), as_lists(x)], ["row_idx", "v"])
-
-    plan = spark.createDataFrame(chunks, "path string, offset bigint, first bigint, n bigint").repartition(max(1, min(len(chunks), 4096)))
+        held, begin, size = [], 0, 0
+        for i, run in groupby((q for b in batches for q in b.column(0).to_pylist()), lambda q: q // a_file):
+            path = store_file(prefix, i, numbered)
+            fs, local = _fs(path)
+            with fs.open_input_file(local) as f:
+                for q in run:
+                    a = q % a_file * per
+                    first, n = i * per_file + a, min(per, per_file - a, n_rows - i * per_file - a)
+                    data = f.read_at(n * row, a * row)
+                    if len(data) != n * row:
+                        raise ValueError(f"{path} ends before row {first + n}")
+                    if not held:
+                        begin = first
+                    held.append(data)
+                    size += len(data)
+                    if size >= BATCH_BYTES:
+                        yield rows_of(begin, b"".join(held))
+                        held, size = [], 0
+        if held:
+            yield rows_of(begin, b"".join(held))
+
+    plan = spark.range(0, ranges, 1, _tasks(spark, n_rows * row, ranges))  # a partition's numbers are consecutive
     return BigMatrix.of(plan.mapInArrow(read, SCHEMA), n_cols, names)
 
 
@@ -128,11 +152,10 @@ def binary_vector(spark: SparkSession, prefix: str, n: int, kind: str = "<i4") -
 
 
 def write_binary(m: BigMatrix, prefix: str, n_rows: int, kind: str = "<f8", limit: int = 1 << 30) -> list[tuple[str, int]]:
-    """(path, rows) of the files written: rows [i * R, (i + 1) * R) in file i, a task per file."""
+    """(path, rows) of the files written: rows [i * R, (i + 1) * R) in file i, which one task writes; small files share tasks."""
     item, n_cols = np.dtype(kind).itemsize, m.n_cols
-    files = store_files(prefix, n_rows, n_cols, item, limit)
     per = batch_rows(n_cols, item, limit)
-    paths = [f[0] for f in files]
+    numbered, n_files = n_rows > per, max(1, -(-n_rows // per))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..matrix import block
@@ -140,24 +163,27 @@ def write_binary(m: BigMatrix, prefix: str, n_rows: int, kind: str = "<f8", limi
         at, out, written = None, None, 0
         done: list[tuple[str, int]] = []
         for b in batches:
-            numbers, x = b.column(0).to_numpy(), block(b.column(2))
-            for number in np.unique(numbers):
-                if number != at:
+            if not b.num_rows:
+                continue
+            numbers, x = b.column(0).to_numpy(), block(b.column(2)).astype(kind)
+            ends = [*(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for start, end in zip([0, *ends], ends):
+                if numbers[start] != at:
                     if out is not None:
                         out.close()
-                        done.append((paths[at], written))
-                    at, written = int(number), 0
-                    fs, local = _fs(paths[at])
+                        done.append((store_file(prefix, at, numbered), written))
+                    at, written = int(numbers[start]), 0
+                    fs, local = _fs(store_file(prefix, at, numbered))
                     out = fs.open_output_stream(local)
-                part = x[numbers == number]
-                out.write(part.astype(kind).tobytes())
-                written += len(part)
+                out.write(x[start:end].tobytes())
+                written += end - start
         if out is not None:
             out.close()
-            done.append((paths[at], written))
+            done.append((store_file(prefix, at, numbered), written))
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["path", "n"])
 
-    dealt = m.df.select(F.expr(f"cast(row_idx div {per} as int)").alias("file"), "row_idx", "v").repartition(len(files), "file").sortWithinPartitions("file", "row_idx")
+    tasks = _tasks(m.df.sparkSession, n_rows * n_cols * item, n_files)
+    dealt = m.df.select(F.expr(f"cast(row_idx div {per} as int)").alias("file"), "row_idx", "v").repartition(tasks, "file").sortWithinPartitions("file", "row_idx")
     return sorted((r["path"], r["n"]) for r in dealt.mapInArrow(write, "path string, n bigint").collect())
 
 

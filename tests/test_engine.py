@@ -234,6 +234,25 @@ def test_control_rows(spark):
     assert got(method="quantile", quantiles=[2, 7], fraction=1.0) == [True, False, False, False]
 
 
+def test_many_small_binary_files_share_tasks(spark, tmp_path):
+    x = np.arange(1507 * 3, dtype=float).reshape(-1, 3)  # 301 files of five rows and one of two
+    m, prefix, sc = of(spark, x), str(tmp_path / "s"), spark.sparkContext
+    sc.setJobGroup("small files", "")
+    try:
+        written = files.write_binary(m, prefix, len(x), limit=5 * 24)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(n for _, n in written) == [2] + [5] * 301 and len({p for p, _ in written}) == 302
+    for i in (0, 150, 301):
+        assert (np.fromfile(f"{prefix}_{i}.bfv").reshape(-1, 3) == x[5 * i : 5 * i + 5]).all()
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("small files") for s in tracker.getJobInfo(j).stageIds]
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert stages and max(s.numTasks for s in stages if s) <= max(few, m.df.rdd.getNumPartitions())
+    read = files.binary_matrix(spark, prefix, len(x), 3, limit=5 * 24, chunk_bytes=2 * 24)
+    assert read.df.rdd.getNumPartitions() <= few and (back(read) == x).all()
+
+
 def test_text_and_binary(spark, tmp_path, x):
     text = "\n".join("\t".join(["id", *map(repr, map(float, r))]) for r in x)
     (tmp_path / "m.txt").write_text("h\t" + "\t".join(f"n{j}" for j in range(8)) + "\n" + text + "\n\n")
